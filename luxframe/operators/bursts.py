@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from luxframe.config import BurstSettings
 from luxframe.operators.levels import weighted_mean_std
 from luxframe.operators.ordered import last_known, neighbours, running_total
+from luxframe.session import settle
 
 
 def detect_bursts(levels: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
@@ -52,7 +53,7 @@ def burst_merges(levels: DataFrame) -> DataFrame:
     A burst going left drops the border before it.  One going right drops the nearest border after
     it that is still there: the border behind the run of left-going bursts that follows it, if any.
     """
-    directed = burst_directions(levels)
+    directed = settle(burst_directions(levels).select("particle", "level_ind", "goes_left"))
     stays = F.when(~F.coalesce("goes_left", F.lit(False)), F.col("level_ind"))
     following = last_known(directed, ["particle"], "level_ind", stays, "_here", forward=False)
     following = neighbours(following, ["particle"], "level_ind", after={"_stop": "_here"})
@@ -61,10 +62,12 @@ def burst_merges(levels: DataFrame) -> DataFrame:
         F.when(F.col("goes_left"), F.col("level_ind"))
         .when(~F.col("goes_left"), F.col("_stop"))
         .alias("level_ind"),
-        F.lit(True).alias("_joined"),
+        F.lit(0).alias("_begins"),
     ).where("level_ind IS NOT NULL")
-    begins = levels.join(dropped.distinct(), ["particle", "level_ind"], "left").withColumn(
-        "_begins", F.when(F.col("_joined"), 0).otherwise(1)
+    begins = directed.join(dropped.distinct(), ["particle", "level_ind"], "left").select(
+        "particle", "level_ind", F.coalesce("_begins", F.lit(1)).alias("_begins")
+    )
+    numbered = running_total(settle(begins), ["particle"], "level_ind", F.col("_begins"), "merged_ind")
+    return levels.join(
+        numbered.select("particle", "level_ind", (F.col("merged_ind") - 1).alias("merged_ind")), ["particle", "level_ind"]
     )
-    merged = running_total(begins, ["particle"], "level_ind", F.col("_begins"), "merged_ind")
-    return merged.withColumn("merged_ind", F.col("merged_ind") - 1).drop("_joined", "_begins")

@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 
 from luxframe.functions.decay import DW_TERMS, FitModel, fit_decay, model_curve
 
-RESULT = T.StructType.fromDDL(
-    "numexp int, method string, tau array<double>, amp array<double>, tau_std array<double>, amp_std array<double>, "
-    "avtau double, avtau_std double, shift_ns double, shift_std_ns double, bg double, bg_std double, irf_bg double, "
-    "fwhm double, chisq double, dw double, dw_5 double, dw_1 double, dw_03 double, dw_01 double, start_ns double, "
-    "end_ns double, num_points int, photons_used double, start_ch int, model array<double>, residual array<double>, "
-    "error string"
-)
+_KINDS = {
+    T.IntegerType(): ("numexp", "num_points", "start_ch"),
+    T.StringType(): ("method", "error"),
+    T.ArrayType(T.DoubleType()): ("tau", "amp", "tau_std", "amp_std", "model", "residual"),
+    T.DoubleType(): (
+        *("avtau", "avtau_std", "shift_ns", "shift_std_ns", "bg", "bg_std", "irf_bg", "fwhm", "chisq"),
+        *("dw", "dw_5", "dw_1", "dw_03", "dw_01", "start_ns", "end_ns", "photons_used"),
+    ),
+}
+RESULT = T.StructType([T.StructField(name, kind) for kind, names in _KINDS.items() for name in names])
 MIN_PHOTONS = 10
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import neighbours, ordinal, rows_in_intervals
+from luxframe.operators.ordered import following_position, neighbours, ordinal, rows_in_intervals
 
 
 def define_levels(cpts: DataFrame, totals: DataFrame, overlapping: bool = False) -> DataFrame:
@@ -18,11 +18,11 @@ def define_levels(cpts: DataFrame, totals: DataFrame, overlapping: bool = False)
     starts = totals.select("particle", F.lit(0).cast("bigint").alias("first_ind")).unionByName(
         points.where("first_ind > 0").distinct()
     )
-    chained = neighbours(starts, ["particle"], "first_ind", after={"_next": "first_ind"})
+    chained = following_position(starts, ["particle"], "first_ind", "_next")
     numbered = ordinal(chained, ["particle"], "first_ind", "level_ind")
     last = F.coalesce(F.col("_next"), F.col("num_photons")) - 1
     if overlapping:
-        following = neighbours(numbered, ["particle"], "first_ind", after={"_after": "_next"})
+        following = neighbours(numbered, ["particle"], "level_ind", after={"_after": "_next"})
         interior = (F.col("level_ind") > 0) & F.col("_after").isNotNull() & F.col("_next").isNotNull()
         numbered, last = following, last + F.when(interior, 1).otherwise(0)
     return numbered.join(totals, "particle").select("particle", "level_ind", "first_ind", last.alias("last_ind"))

@@ -89,6 +89,18 @@ def running_total(
     )
 
 
+def _with_halo(df: DataFrame, pos: str, lag: int, lead: int, block: int) -> DataFrame:
+    """Copy the rows next to a block border into the neighbouring block (``__copy.own`` is false)."""
+    own = _block(pos, block)
+    offset = F.col(pos) - own * block
+    copies = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
+    if lag:
+        copies.append(F.struct(F.when(offset >= block - lag, own + 1).alias("b"), F.lit(False).alias("own")))
+    if lead:
+        copies.append(F.struct(F.when(offset < lead, own - 1).alias("b"), F.lit(False).alias("own")))
+    return df.withColumn("__copy", F.explode(F.filter(F.array(*copies), lambda c: c["b"].isNotNull())))
+
+
 def neighbours(
     df: DataFrame,
     keys: list[str],
@@ -97,29 +109,32 @@ def neighbours(
     after: dict[str, str] | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Columns of the previous (``before``) and next (``after``) row: ``{new name: column}``."""
+    """Columns of the previous (``before``) and next (``after``) row: ``{new name: column}``.
+
+    ``pos`` must be dense, so a row's neighbours are in its block or just across its border.
+    """
     before, after = before or {}, after or {}
+    order = W.partitionBy(*keys, "__copy.b").orderBy(pos)
+    added = {name: F.lag(column).over(order) for name, column in before.items()}
+    added |= {name: F.lead(column).over(order) for name, column in after.items()}
+    halo = _with_halo(df, pos, int(bool(before)), int(bool(after)), block)
+    return halo.withColumns(added).where("__copy.own").drop("__copy")
+
+
+def following_position(df: DataFrame, keys: list[str], pos: str, out: str, block: int = BLOCK) -> DataFrame:
+    """The next position of the same key, however far away it is; null for the last row."""
     blocked = df.withColumn("__block", _block(pos, block))
-    row = F.struct(*[F.col(c) for c in sorted({pos, *before.values(), *after.values()})])
-    borders = (
+    heads = (
         blocked.groupBy(*keys, "__block")
-        .agg(F.min_by(row, F.col(pos)).alias("__head"), F.max_by(row, F.col(pos)).alias("__tail"))
-        .withColumn("__left", F.lag("__tail").over(_across(keys)))
+        .agg(F.min(pos).alias("__head"))
         .withColumn("__right", F.lead("__head").over(_across(keys)))
-        .drop("__head", "__tail")
+        .drop("__head")
     )
-    inside = _inside(keys, pos)
-    joined = (
-        blocked.withColumn("__row", row)
-        .join(borders, [*keys, "__block"])
-        .withColumn("__prev", F.coalesce(F.lag("__row").over(inside), F.col("__left")))
-        .withColumn("__next", F.coalesce(F.lead("__row").over(inside), F.col("__right")))
+    return (
+        blocked.join(heads, [*keys, "__block"])
+        .withColumn(out, F.coalesce(F.lead(pos).over(_inside(keys, pos)), F.col("__right")))
+        .drop("__block", "__right")
     )
-    for name, column in before.items():
-        joined = joined.withColumn(name, F.col("__prev")[column])
-    for name, column in after.items():
-        joined = joined.withColumn(name, F.col("__next")[column])
-    return joined.drop("__block", "__row", "__left", "__right", "__prev", "__next")
 
 
 def last_known(
@@ -160,21 +175,9 @@ def last_known(
 def moving_frame(
     df: DataFrame, keys: list[str], pos: str, agg: Column, out: str, lead: int, lag: int, block: int = BLOCK
 ) -> DataFrame:
-    """``agg`` over rows ``-lag..lead``; rows near a block border are copied into its neighbour."""
-    own = _block(pos, block)
-    offset = F.col(pos) - own * block
-    copies = F.array(
-        F.struct(own.alias("b"), F.lit(True).alias("own")),
-        F.struct(F.when(offset >= block - lag, own + 1).alias("b"), F.lit(False).alias("own")),
-        F.struct(F.when(offset < lead, own - 1).alias("b"), F.lit(False).alias("own")),
-    )
+    """``agg`` over rows ``-lag..lead`` of a dense position."""
     frame = W.partitionBy(*keys, "__copy.b").orderBy(pos).rowsBetween(-lag, lead)
-    return (
-        df.withColumn("__copy", F.explode(F.filter(copies, lambda c: c["b"].isNotNull())))
-        .withColumn(out, agg.over(frame))
-        .where("__copy.own")
-        .drop("__copy")
-    )
+    return _with_halo(df, pos, lag, lead, block).withColumn(out, agg.over(frame)).where("__copy.own").drop("__copy")
 
 
 def dense_spine(bounds: DataFrame, keys: list[str], count: str, out: str, step: int = 4096) -> DataFrame:

@@ -1 +1,180 @@
-"""To be filled."""
+"""Lifetime fits and their statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from luxframe.functions.decay import FitModel, Parameter
+from luxframe.operators import binning, decay_fit, exporting
+from luxframe.plans.catalog import query
+from luxframe.plans.levels import level_bounds
+from luxframe.plans.traces import DECAY_SQL, WIDTH, particle_decays
+from luxframe.operators.levels import photons_in_levels
+from luxframe.sources import demo
+from luxframe.sources.demo import LINES_SQL, table
+
+NARROW = Parameter(0.1, 0.05, 2.0)
+
+
+def arrays(spark, folder):
+    return binning.decay_arrays(particle_decays(spark, folder), ["particle"])
+
+
+def _summary(fits):
+    return fits.drop("model", "residual", "start_ch")
+
+
+def _fit(name: str, model: FitModel):
+    @query(name)
+    def run(spark, folder):
+        return _summary(decay_fit.fit_lifetimes(arrays(spark, folder), ["particle"], WIDTH, model))
+
+    return run
+
+
+SHIFT = Parameter(0.0, -20.0, 20.0)
+fit_1exp_ls = _fit("fit_1exp_ls", FitModel(1, "ls", fwhm=NARROW, shift=SHIFT))
+fit_2exp_ls = _fit("fit_2exp_ls", FitModel(2, "ls", fwhm=NARROW, shift=SHIFT))
+fit_3exp_ls = _fit("fit_3exp_ls", FitModel(3, "ls", fwhm=NARROW, shift=SHIFT))
+fit_1exp_ml = _fit("fit_1exp_ml", FitModel(1, "ml", fwhm=NARROW, shift=SHIFT))
+fit_2exp_ml = _fit("fit_2exp_ml", FitModel(2, "ml", fwhm=NARROW, shift=SHIFT))
+fit_3exp_ml = _fit("fit_3exp_ml", FitModel(3, "ml", fwhm=NARROW, shift=SHIFT))
+
+
+@query("fit_all_scopes")
+def fit_all_scopes(spark, folder):
+    """Whole trace and every level, one decay per row."""
+    photons, bounds = level_bounds(spark, folder)
+    levels = photons_in_levels(photons, bounds).withColumn("scope_ind", F.col("level_ind"))
+    whole = photons.withColumn("scope_ind", F.lit(-1).cast("bigint"))
+    columns = ["particle", "scope_ind", "micro_ns"]
+    micro = binning.micro_counts(whole.select(columns).unionByName(levels.select(columns)), ["particle", "scope_ind"])
+    decays = binning.decay_histogram(micro, ["particle", "scope_ind"], 0.5)
+    packed = binning.decay_arrays(decays, ["particle", "scope_ind"])
+    fits = decay_fit.fit_lifetimes(packed, ["particle", "scope_ind"], 0.5, FitModel(1, fwhm=NARROW, shift=SHIFT))
+    return _summary(fits)
+
+
+@query("fit_preview")
+def fit_preview(spark, folder):
+    packed = arrays(spark, folder)
+    return decay_fit.preview(packed, ["particle"], [5.0], [1.0], [1.0] + [0.0] * 9, 0.0)
+
+
+@query("sim_irf")
+def sim_irf(spark, folder):
+    """Gaussian response on the peak of each decay."""
+    decays = particle_decays(spark, folder)
+    peak = decays.groupBy("particle").agg(
+        F.max("counts").alias("top"), F.max_by("ch", F.struct("counts", -F.col("ch"))).alias("at")
+    )
+    sigma = 0.5 / WIDTH / 2.35482
+    return decays.join(peak, "particle").select(
+        "particle", "ch", F.round(F.col("top") * F.exp(-F.pow((F.col("ch") - F.col("at")) / sigma, F.lit(2)) / 2), 6).alias("irf")
+    )
+
+
+@query(
+    "colorshift",
+    f"""WITH {DECAY_SQL}, n AS (SELECT particle, count(*) AS size FROM dc GROUP BY ALL),
+m AS (SELECT dc.particle, (ch + 2) % size AS ch, counts * (1 - 0.25e0) AS part FROM dc JOIN n ON n.particle = dc.particle
+  UNION ALL SELECT dc.particle, (ch + 3) % size, counts * 0.25e0 FROM dc JOIN n ON n.particle = dc.particle)
+SELECT particle, ch, round(sum(part), 6) AS shifted FROM m GROUP BY ALL""",
+)
+def colorshift(spark, folder):
+    decays = particle_decays(spark, folder)
+    sizes = decays.groupBy("particle").agg(F.count(F.lit(1)).alias("size"))
+    moved = decay_fit.colour_shift(decays.join(sizes, "particle"), ["particle"], "size", 2.25)
+    return moved.withColumn("shifted", F.round("shifted", 6))
+
+
+STATS_SQL = f"""{DECAY_SQL},
+mo AS (SELECT particle, ch, counts, exp(-ch * {WIDTH}e0 / 5) * 100 AS model FROM dc),
+re AS (SELECT *, (model - counts) / sqrt(abs(model)) AS r FROM mo),
+df AS (SELECT *, r - lag(r) OVER (PARTITION BY particle ORDER BY ch) AS d FROM re)"""
+
+
+@query(
+    "fit_stats",
+    f"""WITH {STATS_SQL} SELECT particle, round(sum(r * r) / (count(*) - 3), 5) AS chisq,
+  round(sum(d * d) / sum(r * r), 5) AS dw, count(*) AS num_points FROM df GROUP BY ALL""",
+)
+def fit_stats(spark, folder):
+    curves = particle_decays(spark, folder).withColumn("model", F.exp(-F.col("ch") * WIDTH / 5) * 100)
+    found = decay_fit.fit_statistics(curves, ["particle"], "ch", 1)
+    return found.withColumns({"chisq": F.round("chisq", 5), "dw": F.round("dw", 5)})
+
+
+def _dw_sql(b: tuple, name: str) -> str:
+    return (
+        f"round_even(2 + {b[0]}e0 / sqrt(n) + {b[1]}e0 / n + {b[2]}e0 / (sqrt(n) * sqrt(n) * sqrt(n)) + {b[3]}e0 / (n * n), 3)"
+        f" AS {name}"
+    )
+
+
+def _normal_sql(k: float, name: str) -> str:
+    return f"round_even(2 - {k}e0 * sqrt(4 * n * n * (n - 2) / ((n + 1) * power(n - 1, 3))), 3) AS {name}"
+
+
+@query(
+    "dw_bounds",
+    f"""WITH p AS (SELECT o_orderkey, CAST(50 + o_orderkey % 2000 AS DOUBLE) AS n FROM orders)
+SELECT o_orderkey AS decay, {", ".join(_dw_sql(decay_fit.DW_TERMS[level][k - 1], f"dw_{level}_{k}exp") for level in (5, 1) for k in (1, 2, 3))},
+ {_normal_sql(3.0, "dw_03")}, {_normal_sql(3.28, "dw_01")} FROM p""",
+)
+def dw_bounds(spark, folder):
+    points = (50 + F.pmod("o_orderkey", F.lit(2000))).cast("double")
+    decays = table(spark, folder, "orders").select(F.col("o_orderkey").alias("decay"), points.alias("n"))
+    n = F.col("n")
+    return decays.select(
+        "decay",
+        *[decay_fit.dw_bound(n, k, level).alias(f"dw_{level}_{k}exp") for level in (5, 1) for k in (1, 2, 3)],
+        decay_fit.dw_normal_bound(n, 3.0).alias("dw_03"),
+        decay_fit.dw_normal_bound(n, 3.28).alias("dw_01"),
+    )
+
+
+def line_fits(spark, folder):
+    """Two-exponential results made of line columns."""
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.array(F.lit(0.5) + F.col("l_tax") * 10, F.lit(2.0) + F.col("l_quantity") / 10).alias("tau"),
+        F.array(F.lit(0.3) + F.col("l_discount"), F.lit(0.7) - F.col("l_discount")).alias("amp"),
+        F.array(F.lit(0.05), F.lit(0.1)).alias("tau_std"),
+        F.array(F.lit(0.02), F.lit(0.03)).alias("amp_std"),
+    )
+
+
+LINE_FIT_SQL = """lf AS (SELECT l_orderkey, l_linenumber, l_partkey, 0.5e0 + l_tax * 10 AS t1, 2e0 + l_quantity / 10 AS t2,
+  0.3e0 + l_discount AS a1, 0.7e0 - l_discount AS a2 FROM lineitem)"""
+
+
+@query(
+    "avg_lifetime",
+    f"""WITH {LINE_FIT_SQL} SELECT l_orderkey, l_linenumber, l_partkey, round((t1 * a1 + t2 * a2) / (a1 + a2), 5) AS avtau FROM lf""",
+)
+def avg_lifetime(spark, folder):
+    value = F.round(decay_fit.average_lifetime("tau", "amp"), 5)
+    return line_fits(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", value.alias("avtau"))
+
+
+@query(
+    "avg_lifetime_std",
+    f"""WITH {LINE_FIT_SQL} SELECT l_orderkey, l_linenumber, l_partkey,
+  round(sqrt(power(t1 * a1, 2) * (power(0.05e0 / t1, 2) + power(0.02e0 / a1, 2))
+           + power(t2 * a2, 2) * (power(0.1e0 / t2, 2) + power(0.03e0 / a2, 2))), 6) AS avtau_std FROM lf""",
+)
+def avg_lifetime_std(spark, folder):
+    value = F.round(decay_fit.average_lifetime_std("tau", "amp", "tau_std", "amp_std"), 6)
+    return line_fits(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", value.alias("avtau_std"))
+
+
+@query(
+    "max_exp_num",
+    f"WITH {LINES_SQL} SELECT coalesce(max(CASE WHEN av_tau IS NOT NULL THEN 1 + line_no % 3 END), 0) AS max_exp_num FROM ln1",
+)
+def max_exp_num(spark, folder):
+    numexp = F.when(F.col("av_tau").isNotNull(), 1 + F.pmod("line_no", F.lit(3)))
+    return exporting.max_exponents(demo.line_levels(spark, folder, ordered=False).withColumn("numexp", numexp))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import index_rows
+from luxframe.operators.ordered import index_rows, running_total
+from luxframe.session import settle
 
 PERIOD_US = 2 * 86_400_000_000
 
@@ -81,13 +82,10 @@ def line_levels(spark: SparkSession, folder: str, ordered: bool = True) -> DataF
 
 
 def ordered_lines(lines: DataFrame) -> DataFrame:
-    from luxframe.operators.ordered import running_total
-
     indexed = index_rows(lines, ["particle"], ["shipped", "line_order", "line_no", "part_key", "num_photons"], "level_ind")
     timed = running_total(indexed, ["particle"], "level_ind", F.col("dwell_ms"), "end_ms")
-    return timed.withColumn("start_s", (F.col("end_ms") - F.col("dwell_ms")) / 1000.0).withColumn(
-        "end_s", F.col("end_ms") / 1000.0
-    )
+    start = (F.col("end_ms") - F.col("dwell_ms")) / 1000.0
+    return settle(timed.withColumns({"start_s": start, "end_s": F.col("end_ms") / 1000.0}))
 
 
 PHOTONS_SQL = """
