@@ -120,3 +120,71 @@ def renumber(existing: DataFrame, added: DataFrame) -> DataFrame:
         "particle_number", (F.col("_pos") + F.lit(top) + 1).cast("bigint")
     )
     return existing.unionByName(numbered.select(existing.columns))
+
+
+def write_per_particle(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
+    """CSV export with one folder per particle; a large particle gets several files."""
+    for column, header in (headers or {}).items():
+        df = df.withColumnRenamed(column, header)
+    df.write.mode("overwrite").partitionBy("particle").option("header", True).csv(path)
+
+
+# Headers of the exported CSV tables.
+TRACE_HEADERS = {"bin_number": "Bin #", "t_s": "Bin Time (s)", "counts": "Bin Int (counts)"}
+LEVEL_HEADERS = {
+    "level": "Level #",
+    "start": "Start Time (s)",
+    "end": "End Time (s)",
+    "dwell": "Dwell Time (/s)",
+    "int": "Int (counts/s)",
+    "num_photons": "Num of Photons",
+}
+
+
+def level_rows(levels: DataFrame) -> DataFrame:
+    return levels.select(
+        "particle",
+        (F.col("level_ind") + 1).alias("level"),
+        F.col("start_s").alias("start"),
+        F.col("end_s").alias("end"),
+        F.col("dwell_s").alias("dwell"),
+        F.col("int_p_s").alias("int"),
+        "num_photons",
+    )
+
+
+def grouping_results(steps: DataFrame) -> DataFrame:
+    """Steps of each particle with the number of steps, the best criterion and the selected step."""
+    facts = steps.groupBy("particle").agg(
+        F.count(F.lit(1)).alias("num_steps"),
+        F.max(F.when(F.col("is_best"), F.col("bic"))).alias("best_bic"),
+        F.max(F.when(F.col("is_best"), F.col("step"))).alias("selected_step"),
+    )
+    return steps.join(facts, "particle").select(
+        "particle", "num_steps", "best_bic", "selected_step", (F.col("step") + 1).alias("step"), "num_groups", "bic"
+    )
+
+
+def group_info(groups: DataFrame) -> DataFrame:
+    return groups.select(
+        "particle", (F.col("group_ind") + 1).alias("group"), "int_p_s", "dwell_s", "num_levels", "num_photons"
+    )
+
+
+def lifetimes(fits: DataFrame, max_exp: int) -> DataFrame:
+    """Fit results with one column per exponential up to the highest fitted number."""
+    return fits.select(
+        "particle",
+        "scope_ind",
+        *padded("tau", max_exp, "tau_"),
+        *padded("tau_std", max_exp, "tau_std_"),
+        *padded("amp", max_exp, "amp_"),
+        *padded("amp_std", max_exp, "amp_std_"),
+        *[c for c in ("avtau", "avtau_std", "shift_ns", "bg", "irf_bg", "chisq", "dw") if c in fits.columns],
+    )
+
+
+def correlation_rows(hist: DataFrame, per_thousand: bool = False) -> DataFrame:
+    """Correlation export; ``per_thousand`` divides counts by 1000 like older exports."""
+    counts = F.col("counts") / 1e3 if per_thousand else F.col("counts")
+    return hist.select("particle", (F.col("bin") + 1).alias("bin_number"), "left_ns", counts.alias("counts"))
