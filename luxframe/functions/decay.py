@@ -10,6 +10,7 @@ from luxframe.config import FitSettings
 
 SECTION = 50  # channels looked at when judging the background before the rise
 FWHM_PER_SIGMA = 2.35482
+EMPTY = 1e-3  # model counts below this are taken as this in the likelihood
 
 
 def smooth(values: np.ndarray, window: int) -> np.ndarray:
@@ -81,9 +82,20 @@ def gaussian_irf(fwhm_ns: float, width_ns: float, counts: np.ndarray) -> np.ndar
     return counts.max() * np.exp(-((channels - int(np.argmax(counts))) ** 2) / (2 * sigma**2))
 
 
-def convolved(irf: np.ndarray, model: np.ndarray) -> np.ndarray:
-    size = 1 << (len(irf) + len(model) - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(irf, size) * np.fft.rfft(model, size), size)[: len(model)]
+def convolved_exponential(irf: np.ndarray, ratio: float, block: int = 64) -> np.ndarray:
+    """Response convolved with ``ratio**k``.
+
+    Each value is the one before times ``ratio`` plus the response, taken a block at a time.  All
+    terms keep their sign, so empty channels stay exactly empty, which a Fourier transform would
+    blur and the likelihood could not stand.
+    """
+    rows = np.pad(irf, (0, -len(irf) % block)).reshape(-1, block)
+    age = np.subtract.outer(np.arange(block), np.arange(block))
+    out = rows @ np.where(age >= 0, ratio ** np.maximum(age, 0), 0.0).T
+    fade = ratio ** np.arange(1, block + 1)
+    for k in range(1, len(out)):
+        out[k] += out[k - 1, -1] * fade
+    return out.ravel()[: len(irf)]
 
 
 def fit_range(
@@ -201,18 +213,21 @@ def bounded_fit(func, target, start, low, high, likelihood=False, project=None,
     def cost(model):
         if not likelihood:
             return float(np.sum((target - model) ** 2))
-        used = target > 0
-        if not np.all(np.isfinite(model)) or np.any(model[used] <= 0):
+        if not np.all(np.isfinite(model)):
             return np.inf
-        return float(np.sum(target[used] * np.log(target[used] / model[used])))
+        used = target > 0
+        return float(np.sum(target[used] * np.log(target[used] / np.maximum(model[used], EMPTY))))
 
     model = func(p)
-    best, damping = cost(model), 1e-3
+    best, damping = cost(model), 1.0
     for _ in range(rounds):
         jac = _jacobian(func, p, low, high)
-        scale = 1 / np.sqrt(np.maximum(model, 1e-12)) if likelihood else np.ones_like(model)
-        weighted, rest = jac * scale[:, None], (target - model) * scale
-        gradient, curvature = weighted.T @ rest, weighted.T @ weighted
+        if likelihood:
+            level = np.maximum(model, EMPTY)
+            gradient = jac.T @ ((target - model) / level)
+            curvature = (jac.T * (np.maximum(target, level) / level**2)) @ jac
+        else:
+            gradient, curvature = jac.T @ (target - model), jac.T @ jac
         stuck = ((p <= low) & (gradient < 0)) | ((p >= high) & (gradient > 0))
         free = ~stuck & (np.diag(curvature) > 0)
         if not free.any():
@@ -235,7 +250,7 @@ def bounded_fit(func, target, start, low, high, likelihood=False, project=None,
         if not improved or (gain <= 1e-12 * abs(best) and np.all(moved <= 1e-8 * (np.abs(p) + 1e-8))):
             break
     jac = _jacobian(func, p, low, high)
-    scale = 1 / np.sqrt(np.maximum(model, 1e-12)) if likelihood else np.ones_like(model)
+    scale = 1 / np.sqrt(np.maximum(model, EMPTY)) if likelihood else np.ones_like(model)
     _, singular, rotation = np.linalg.svd(jac * scale[:, None], full_matrices=False)
     kept = singular > np.finfo(float).eps * max(jac.shape) * singular[0]
     covariance = (rotation[kept].T / singular[kept] ** 2) @ rotation[kept]
@@ -273,8 +288,9 @@ DW_TERMS = {
 
 def model_curve(tau, amp, shift, irf, t, start, end, normalize=True, total=None, bg=0.0):
     """Sum of exponentials convolved with the shifted response, cut to the fit range."""
-    decay = sum(a * np.exp(-t / k) for a, k in zip(amp, tau))
-    curve = (convolved(shift_circular(irf, shift), decay) + bg)[start:end]
+    shifted, step = shift_circular(irf, shift), t[1] - t[0]
+    curve = sum(a * convolved_exponential(shifted, np.exp(-step / k)) for a, k in zip(amp, tau))
+    curve = (curve + bg)[start:end]
     if normalize:
         curve = curve / curve.sum()
         if total is not None:
@@ -309,7 +325,11 @@ def fit_decay(counts, t, width_ns: float, model: FitModel, irf=None) -> dict:
     taus, amps = model.taus(), model.amps()
     parameters = [*taus, *amps, model.shift]
     if ml:
-        parameters.append(Parameter(5.0, 0.0, 50.0))
+        # The background counts in units of the unscaled curve, so its start is put on that scale.
+        area = (clean if simulated else response).sum() / (clean.max() if simulated else 1.0)
+        area *= sum(a.start * p.start / width_ns for a, p in zip([*amps, Parameter(1, 0, 1)], taus))
+        share = min(rise_and_background(raw, model.settings.bg_percent)[1] * len(measured) / total, 0.5)
+        parameters.append(Parameter(float(np.clip(share / (1 - share) * area / len(measured), 1e-6, 50.0)), 0.0, 50.0))
     if simulated:
         parameters.append(model.fwhm or Parameter(0.1, 0.05, 2.0))
     low, high = zip(*[p.bounds() for p in parameters])
