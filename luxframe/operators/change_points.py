@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from luxframe.config import ChangePointSettings
 from luxframe.functions.critical_values import accept_value, region_value
 from luxframe.functions.wlr import series
-from luxframe.session import settle
+from luxframe.operators.ordered import small
+from luxframe.session import settle, shuffle_width
 
 CHUNK = 200_000
 ENDED = -1
@@ -109,10 +110,12 @@ def chunked(photons: DataFrame, totals: DataFrame, settings: ChangePointSettings
     own = F.floor(F.col("photon_ind") / F.lit(chunk)).cast("bigint")
     spill = F.when((F.col("photon_ind") - own * chunk <= settings.segment) & (own > 0), own - 1)
     placed = photons.withColumn("chunk", F.explode(F.filter(F.array(own, spill), lambda c: c.isNotNull())))
-    packed = placed.groupBy("particle", "chunk").agg(
+    # Few bytes but much work per chunk: the partitions are fixed here and not merged by size.
+    spread = placed.repartition(shuffle_width(photons.sparkSession), "particle", "chunk")
+    packed = spread.groupBy("particle", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("photon_ind", "abs_ns"))).alias("_p")
     )
-    return packed.join(totals, "particle").select(
+    return packed.join(small(totals), "particle").select(
         "particle", "chunk", F.col("num_photons").alias("total"), F.col("_p.abs_ns").alias("times")
     )
 

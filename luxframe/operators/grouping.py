@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from luxframe.functions.clustering import cluster
 from luxframe.operators.ordered import neighbours, running_total
 from luxframe.schema import GROUPING_STEPS
+from luxframe.session import shuffle_width
 
 
 def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step: bool = True) -> DataFrame:
@@ -25,7 +26,10 @@ def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step:
         totals = levels.groupBy("particle").agg(
             F.sum("dwell_s").alias("total_s"), F.sum("num_photons").alias("total_photons")
         )
+    # Clustering is heavy for its few bytes, so the partitions are fixed here and not merged by size.
+    width = shuffle_width(levels.sparkSession)
     source = levels.select("particle", "level_ind", "num_photons", "dwell_s").join(totals, "particle")
+    source = source.repartition(width, "particle")
 
     def steps(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("level_ind")

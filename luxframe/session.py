@@ -57,4 +57,5 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions for an explicit repartition: enough for the shuffle settings and for every core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
