@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from luxframe.config import BurstSettings
 from luxframe.operators.levels import weighted_mean_std
-from luxframe.operators.ordered import last_known, neighbours, running_total
+from luxframe.operators.ordered import neighbours, ordinal, running_total
 from luxframe.session import settle
 
 
@@ -25,14 +25,15 @@ def detect_bursts(levels: DataFrame, settings: BurstSettings = BurstSettings())
 
 
 def burst_directions(levels: DataFrame) -> DataFrame:
-    """Add ``goes_left``: true or false for a burst, null for any other level.
+    """The bursts with ``goes_left``.
 
     A burst joins its brighter neighbour, the right one only if strictly brighter.  The first level
     can only go right.  A burst with nothing but bursts after it has no right neighbour left when
     its turn comes, because removal runs from the last level to the first, and goes left.
     """
-    around = neighbours(levels, ["particle"], "level_ind", before={"_left": "int_p_s"}, after={"_right": "int_p_s"})
-    last_steady = levels.groupBy("particle").agg(
+    slim = levels.select("particle", "level_ind", "int_p_s", "is_burst")
+    around = neighbours(slim, ["particle"], "level_ind", before={"_left": "int_p_s"}, after={"_right": "int_p_s"})
+    last_steady = slim.groupBy("particle").agg(
         F.coalesce(F.max(F.when(~F.col("is_burst"), F.col("level_ind"))), F.lit(-1)).alias("_steady")
     )
     left = (
@@ -40,34 +41,35 @@ def burst_directions(levels: DataFrame) -> DataFrame:
         .when(F.col("level_ind") > F.col("_steady"), True)
         .otherwise(~(F.col("_right") > F.col("_left")))
     )
-    return (
-        around.join(last_steady, "particle")
-        .withColumn("goes_left", F.when(F.col("is_burst"), left))
-        .drop("_left", "_right", "_steady")
-    )
+    return around.where("is_burst").join(last_steady, "particle").select("particle", "level_ind", left.alias("goes_left"))
 
 
-def burst_merges(levels: DataFrame) -> DataFrame:
-    """Add ``merged_ind``, the level that remains after bursts have joined their neighbours.
+def dropped_borders(directed: DataFrame) -> DataFrame:
+    """Levels that no longer begin at a border: ``(particle, level_ind)``.
 
     A burst going left drops the border before it.  One going right drops the nearest border after
     it that is still there: the border behind the run of left-going bursts that follows it, if any.
     """
-    directed = settle(burst_directions(levels).select("particle", "level_ind", "goes_left"))
-    stays = F.when(~F.coalesce("goes_left", F.lit(False)), F.col("level_ind"))
-    following = last_known(directed, ["particle"], "level_ind", stays, "_here", forward=False)
-    following = neighbours(following, ["particle"], "level_ind", after={"_stop": "_here"})
-    dropped = following.select(
-        "particle",
-        F.when(F.col("goes_left"), F.col("level_ind"))
-        .when(~F.col("goes_left"), F.col("_stop"))
-        .alias("level_ind"),
-        F.lit(0).alias("_begins"),
-    ).where("level_ind IS NOT NULL")
-    begins = directed.join(dropped.distinct(), ["particle", "level_ind"], "left").select(
-        "particle", "level_ind", F.coalesce("_begins", F.lit(1)).alias("_begins")
+    lefts = directed.where("goes_left").select("particle", "level_ind")
+    rights = directed.where(~F.col("goes_left")).select("particle", (F.col("level_ind") + 1).alias("first"))
+    ranked = ordinal(lefts, ["particle"], "level_ind", "_rank")
+    runs = ranked.groupBy("particle", (F.col("level_ind") - F.col("_rank")).alias("_run")).agg(
+        F.min("level_ind").alias("first"), F.max("level_ind").alias("_last")
     )
-    numbered = running_total(settle(begins), ["particle"], "level_ind", F.col("_begins"), "merged_ind")
-    return levels.join(
-        numbered.select("particle", "level_ind", (F.col("merged_ind") - 1).alias("merged_ind")), ["particle", "level_ind"]
+    behind = rights.join(runs.drop("_run"), ["particle", "first"], "left").select(
+        "particle", F.coalesce(F.col("_last") + 1, F.col("first")).alias("level_ind")
     )
+    return lefts.unionByName(behind).distinct()
+
+
+def burst_merges(levels: DataFrame) -> DataFrame:
+    """Add ``merged_ind``, the level that remains after bursts have joined their neighbours.
+
+    ``levels`` is read several times and should be a stored table.
+    """
+    dropped = dropped_borders(settle(burst_directions(levels))).withColumn("_joined", F.lit(1))
+    flagged = levels.select("particle", "level_ind").join(dropped, ["particle", "level_ind"], "left")
+    begins = F.when(F.col("_joined").isNull(), 1).otherwise(0)
+    numbered = running_total(flagged, ["particle"], "level_ind", begins, "merged_ind")
+    merged = numbered.select("particle", "level_ind", (F.col("merged_ind") - 1).alias("merged_ind"))
+    return levels.join(merged, ["particle", "level_ind"])

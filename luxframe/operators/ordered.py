@@ -147,106 +147,24 @@ def last_known(
     block: int = BLOCK,
 ) -> DataFrame:
     """Nearest non-null ``value`` at or before (``forward``) or at or after each row."""
-    blocked = df.withColumn("__block", _block(pos, block)).withColumn("__value", value)
-    known = F.when(F.col("__value").isNotNull(), F.col(pos))
-    # Looking ahead is looking back in reverse order: a frame that grows costs one step per row,
-    # one that shrinks from the far end would be recomputed for every row.
-    direction = F.asc if forward else F.desc
+    known = F.when(value.isNotNull(), F.struct(F.col(pos).alias("at"), value.alias("value")))
+    blocked = df.withColumn("__block", _block(pos, block)).withColumn("__known", known)
+    # Looking ahead is looking back in reverse order.  The nearest known row is then a running
+    # minimum, which costs one step per row; a frame that shrinks from the far end would be
+    # recomputed for every row.
+    direction, nearest = (F.asc, F.max) if forward else (F.desc, F.min)
     outer = W.partitionBy(*keys).orderBy(direction("__block")).rowsBetween(W.unboundedPreceding, -1)
     inner = W.partitionBy(*keys, "__block").orderBy(direction(pos)).rowsBetween(W.unboundedPreceding, 0)
     carried = (
         blocked.groupBy(*keys, "__block")
-        .agg((F.max_by if forward else F.min_by)("__value", known).alias("__best"))
-        .withColumn("__carry", F.last("__best", ignorenulls=True).over(outer))
+        .agg(nearest("__known").alias("__best"))
+        .withColumn("__carry", nearest("__best").over(outer))
         .drop("__best")
     )
     return (
         blocked.join(carried, [*keys, "__block"])
-        .withColumn(out, F.coalesce(F.last("__value", ignorenulls=True).over(inner), F.col("__carry")))
-        .drop("__block", "__value", "__carry")
-    )
-
-
-def _with_halo(df: DataFrame, pos: str, lag: int, lead: int, block: int) -> DataFrame:
-    """Copy the rows next to a block border into the neighbouring block (``__copy.own`` is false)."""
-    own = _block(pos, block)
-    offset = F.col(pos) - own * block
-    copies = [F.struct(own.alias("b"), F.lit(True).alias("own"))]
-    if lag:
-        copies.append(F.struct(F.when(offset >= block - lag, own + 1).alias("b"), F.lit(False).alias("own")))
-    if lead:
-        copies.append(F.struct(F.when(offset < lead, own - 1).alias("b"), F.lit(False).alias("own")))
-    return df.withColumn("__copy", F.explode(F.filter(F.array(*copies), lambda c: c["b"].isNotNull())))
-
-
-def neighbours(
-    df: DataFrame,
-    keys: list[str],
-    pos: str,
-    before: dict[str, str] | None = None,
-    after: dict[str, str] | None = None,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Columns of the previous (``before``) and next (``after``) row: ``{new name: column}``.
-
-    ``pos`` must be dense, so a row's neighbours are in its block or just across its border.
-    """
-    before, after = before or {}, after or {}
-    order = W.partitionBy(*keys, "__copy.b").orderBy(pos)
-    added = {name: F.lag(column).over(order) for name, column in before.items()}
-    added |= {name: F.lead(column).over(order) for name, column in after.items()}
-    halo = _with_halo(df, pos, int(bool(before)), int(bool(after)), block)
-    return halo.withColumns(added).where("__copy.own").drop("__copy")
-
-
-def following_position(df: DataFrame, keys: list[str], pos: str, out: str, block: int = BLOCK) -> DataFrame:
-    """The next position of the same key, however far away it is; null for the last row."""
-    blocked = df.withColumn("__block", _block(pos, block))
-    heads = (
-        blocked.groupBy(*keys, "__block")
-        .agg(F.min(pos).alias("__head"))
-        .withColumn("__right", F.lead("__head").over(_across(keys)))
-        .drop("__head")
-    )
-    return (
-        blocked.join(heads, [*keys, "__block"])
-        .withColumn(out, F.coalesce(F.lead(pos).over(_inside(keys, pos)), F.col("__right")))
-        .drop("__block", "__right")
-    )
-
-
-def last_known(
-    df: DataFrame,
-    keys: list[str],
-    pos: str,
-    value: Column,
-    out: str,
-    forward: bool = True,
-    block: int = BLOCK,
-) -> DataFrame:
-    """Nearest non-null ``value`` at or before (``forward``) or at or after each row."""
-    blocked = df.withColumn("__block", _block(pos, block)).withColumn("__value", value)
-    known = F.when(F.col("__value").isNotNull(), F.col(pos))
-    pick = F.max_by if forward else F.min_by
-    across, inside = _across(keys), _inside(keys, pos)
-    if forward:
-        outer = across.rowsBetween(W.unboundedPreceding, -1)
-        inner = inside.rowsBetween(W.unboundedPreceding, 0)
-        nearest = F.last
-    else:
-        outer = across.rowsBetween(1, W.unboundedFollowing)
-        inner = inside.rowsBetween(0, W.unboundedFollowing)
-        nearest = F.first
-    carried = (
-        blocked.groupBy(*keys, "__block")
-        .agg(pick("__value", known).alias("__best"))
-        .withColumn("__carry", nearest("__best", ignorenulls=True).over(outer))
-        .drop("__best")
-    )
-    return (
-        blocked.join(carried, [*keys, "__block"])
-        .withColumn(out, F.coalesce(nearest("__value", ignorenulls=True).over(inner), F.col("__carry")))
-        .drop("__block", "__value", "__carry")
+        .withColumn(out, F.coalesce(nearest("__known").over(inner), F.col("__carry"))["value"])
+        .drop("__block", "__known", "__carry")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from luxframe.config import BurstSettings
 from luxframe.operators import bursts, levels as ops, roi
 from luxframe.plans.catalog import query
+from luxframe.session import settle
 from luxframe.sources import demo
 from luxframe.sources.demo import LEVELS_SQL, LINES_SQL, PHOTONS_SQL
 
@@ -105,12 +106,12 @@ bu AS (SELECT ln.*, int_p_s > mean_int + std_int * {BURSTS.sigma}e0 AND dwell_s
 
 
 def line_bursts(spark, folder):
-    return bursts.detect_bursts(demo.line_levels(spark, folder), BURSTS)
+    return settle(bursts.detect_bursts(demo.line_levels(spark, folder), BURSTS))
 
 
 @query("detect_bursts", f"WITH {BURST_SQL} SELECT particle, level_ind, is_burst FROM bu")
 def detect_bursts(spark, folder):
-    return line_bursts(spark, folder).select("particle", "level_ind", "is_burst")
+    return bursts.detect_bursts(demo.line_levels(spark, folder), BURSTS).select("particle", "level_ind", "is_burst")
 
 
 @query(
@@ -326,8 +327,6 @@ def lifetime_trace(spark, folder):
 def cpa_levels(spark, folder):
     """Levels between detected change points."""
     from luxframe.operators.change_points import find_change_points
-    from luxframe.session import settle
-
     photons = settle(demo.indexed_photons(spark, folder))
     totals = ops.photon_totals(photons)
     bounds = ops.define_levels(find_change_points(photons), totals.where("num_photons >= 200"))
