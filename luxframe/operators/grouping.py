@@ -8,9 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from luxframe.functions.clustering import cluster
+from luxframe.operators.large_grouping import SEEDS, cluster_large
 from luxframe.operators.ordered import neighbours, running_total
 from luxframe.schema import GROUPING_STEPS
-from luxframe.session import shuffle_width
+from luxframe.session import settle, shuffle_width
+
+TASK_LEVELS = 20_000
 
 
 def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step: bool = True) -> DataFrame:
@@ -53,6 +56,29 @@ def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step:
     return source.groupBy("particle").applyInPandas(steps, GROUPING_STEPS)
 
 
+def group_levels(levels: DataFrame, task_levels: int = TASK_LEVELS, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
+    """Steps ``(particle, step, num_groups, log_l, bic, is_best)`` and the best assignment as rows.
+
+    Particles of up to ``task_levels`` levels are clustered many at a time, each in a task.  A larger
+    one is spread over the cluster and takes part with all its levels, one pass per iteration.
+    """
+    spark = levels.sparkSession
+    slim = settle(levels.select("particle", "level_ind", "num_photons", "dwell_s"))
+    sizes = slim.groupBy("particle").agg(F.count(F.lit(1)).alias("n"))
+    large = [row.particle for row in sizes.where(F.col("n") > task_levels).collect()]
+    usual = slim.join(sizes.where(F.col("n") <= task_levels), "particle", "left_semi")
+    solved = settle(run_grouping(usual, every_step=False))
+    steps, assigned = solved.drop("level_groups"), step_assignment(solved)
+    for particle in large:
+        own = slim.where(F.col("particle") == particle).repartition(shuffle_width(spark))
+        found, members = cluster_large(settle(own), seeds)
+        best = max(range(len(found)), key=lambda k: found[k][2])
+        rows = [(particle, k, *found[k], k == best) for k in range(len(found))]
+        steps = steps.unionByName(spark.createDataFrame(rows, steps.schema))
+        assigned = assigned.unionByName(members.select("particle", "level_ind", "group_ind"))
+    return steps, assigned
+
+
 def step_assignment(steps: DataFrame, chosen: Column | None = None) -> DataFrame:
     """``(particle, level_ind, group_ind)`` of the best (or another chosen) step."""
     return (

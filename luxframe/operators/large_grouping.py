@@ -1,0 +1,143 @@
+"""Clustering of one group of levels that is too large for a task.
+
+The levels stay where they are.  Only the mixture travels: one rate and one share per group, at most
+``SEEDS`` of them.  Every iteration is one pass in which each partition adds up its part of the sums.
+The agglomeration starts from that many narrow intensity bins instead of single levels, which bounds
+the number of groups; expectation maximisation reassigns every single level from the first step on.
+With no two levels in one bin the result is that of the clustering inside a task.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from luxframe.functions.clustering import (
+    LOG_FLOOR,
+    ROUNDS,
+    TOLERANCE,
+    Mixture,
+    best_merge,
+    criterion,
+    mixture_parameters,
+)
+
+SEEDS = 65_536
+SUMS = "g bigint, time double, seen double, hard_n double, hard_t double"
+
+
+@dataclass
+class Assignment:
+    """How to find the group of any level: its intensity bin or its most responsible group, renamed."""
+
+    relabel: np.ndarray
+    bins: tuple[float, float] | None = None
+    mixture: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def renamed(self, names: np.ndarray) -> "Assignment":
+        return Assignment(np.where(self.relabel < 0, -1, names[self.relabel]), self.bins, self.mixture)
+
+    def of(self, mix: Mixture) -> np.ndarray:
+        if self.bins:
+            low, width = self.bins
+            return self.relabel[np.clip((mix.log_own - low) // width, 0, len(self.relabel) - 1).astype(int)]
+        alive, rates, shares = self.mixture
+        level, spot, weight, alpha, starts = mix.weigh(rates, shares)
+        return self.relabel[mix.choose(level, alive[spot], weight, alpha, starts, len(self.relabel))[0]]
+
+
+def _mixture(frame: pd.DataFrame, total_s: float) -> Mixture:
+    return Mixture(frame["num_photons"].to_numpy(float), np.maximum(frame["dwell_s"].to_numpy(float), 1e-12), total_s)
+
+
+def _pass(levels: DataFrame, hard: Assignment, before, now, groups: int, total_s: float):
+    """One iteration: new sums per group, total change and likelihood under the mixture ``now``."""
+
+    def add_up(frames):
+        sums, change, likelihood = np.zeros((4, groups)), 0.0, 0.0
+        for frame in frames:
+            mix = _mixture(frame, total_s)
+            alive, rates, shares = now
+            level, spot, weight, alpha, starts = mix.weigh(rates, shares)
+            group = alive[spot]
+            if before is None:
+                old = (np.arange(len(frame)), hard.of(mix), np.ones(len(frame)))
+            else:
+                old_level, old_spot, old_weight, _, _ = mix.weigh(before[1], before[2])
+                old = (old_level, before[0][old_spot], old_weight)
+            change += mix.change(*old, level, group, weight, groups)
+            chosen, best = mix.choose(level, group, weight, alpha, starts, groups)
+            likelihood += best[best > LOG_FLOOR].sum()
+            sums[0] += np.bincount(group, weight * mix.dwell[level], groups)
+            sums[1] += np.bincount(group, weight * mix.counts[level], groups)
+            sums[2] += np.bincount(chosen, mix.counts, groups)
+            sums[3] += np.bincount(chosen, mix.dwell, groups)
+        used = np.flatnonzero(sums.any(axis=0))
+        table = pd.DataFrame(sums[:, used].T, columns=["time", "seen", "hard_n", "hard_t"])
+        table.insert(0, "g", used)
+        yield pd.concat([table, pd.DataFrame([[-1, change, likelihood, 0.0, 0.0]], columns=table.columns)])
+
+    parts = levels.select("num_photons", "dwell_s").mapInPandas(add_up, SUMS)
+    rows = parts.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("time", "seen", "hard_n", "hard_t")]).collect()
+    sums, change, likelihood = np.zeros((4, groups)), 0.0, 0.0
+    for row in rows:
+        if row.g < 0:
+            change, likelihood = row.time, row.seen
+        else:
+            sums[:, row.g] = row[1:]
+    return sums, change, likelihood
+
+
+def cluster_large(levels: DataFrame, seeds: int = SEEDS) -> tuple[list[tuple[int, float, float]], DataFrame]:
+    """Steps ``(groups, log-likelihood, criterion)`` and every level with its best ``group_ind``.
+
+    ``levels`` is one group, stored and spread over the cluster; it is read once per iteration.
+    """
+    rate = F.ln(F.col("num_photons") / F.greatest(F.col("dwell_s"), F.lit(1e-12)))
+    count, photons, total_s, low, high = levels.agg(
+        F.count(F.lit(1)), F.sum("num_photons"), F.sum("dwell_s"), F.min(rate), F.max(rate)
+    ).first()
+    width = max((high - low) / seeds, 1e-12)
+    spot = F.greatest(F.least(F.floor((rate - F.lit(low)) / F.lit(width)), F.lit(seeds - 1)), F.lit(0)).cast("int")
+    binned = levels.groupBy(spot.alias("bin")).agg(F.sum("num_photons").alias("n"), F.sum("dwell_s").alias("t")).collect()
+    binned.sort(key=lambda r: r.n / r.t)
+    n, t = np.array([float(r.n) for r in binned]), np.array([r.t for r in binned])
+    relabel = np.full(seeds, -1)
+    relabel[[r.bin for r in binned]] = np.arange(len(binned))
+    hard, steps, best = Assignment(relabel, bins=(low, width)), [], None
+    while len(n) > 1:
+        cut = best_merge(n, t)
+        names = np.arange(len(n)) - (np.arange(len(n)) > cut)
+        groups = len(n) - 1
+        seen, time = np.bincount(names, n, groups), np.bincount(names, t, groups)
+        hard, before = hard.renamed(names), None
+        for _ in range(ROUNDS):
+            now = mixture_parameters(time, seen, total_s)
+            sums, change, likelihood = _pass(levels, hard, before, now, groups, total_s)
+            before, time, seen = now, sums[0], sums[1]
+            if change <= TOLERANCE:
+                break
+        kept = np.flatnonzero(sums[2] > 0)
+        kept = kept[np.argsort(sums[2][kept] / sums[3][kept], kind="stable")]
+        n, t = sums[2][kept], sums[3][kept]
+        names = np.full(groups, -1)
+        names[kept] = np.arange(len(kept))
+        hard = Assignment(names, mixture=now)
+        steps.append((len(n), likelihood, criterion(likelihood, len(n), count - 1, photons)))
+        if best is None or steps[-1][2] > best[0]:
+            best = (steps[-1][2], hard)
+    if best is None:
+        return [(1, None, None)], levels.withColumn("group_ind", F.lit(0))
+    chosen = best[1]
+
+    def assign(frames):
+        for frame in frames:
+            yield frame.assign(group_ind=chosen.of(_mixture(frame, total_s)).astype("int32"))
+
+    schema = T.StructType([*levels.schema.fields, T.StructField("group_ind", T.IntegerType())])
+    return steps, levels.mapInPandas(assign, schema)

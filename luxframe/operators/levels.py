@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import following_position, neighbours, ordinal, rows_in_intervals
+from luxframe.operators.ordered import following_position, index_rows, last_known, neighbours, ordinal, rows_in_intervals, running_total
 
 
 def define_levels(cpts: DataFrame, totals: DataFrame, overlapping: bool = False) -> DataFrame:
@@ -77,9 +77,27 @@ def weighted_mean_std(levels: DataFrame) -> DataFrame:
 
 
 def level_at_time(levels: DataFrame, probes: DataFrame) -> DataFrame:
-    """First level with start <= t <= end for probes(particle, t_ns)."""
-    hit = probes.join(levels, "particle").where(F.col("t_ns").between(F.col("start_ns"), F.col("end_ns")))
-    return hit.groupBy("particle", "t_ns").agg(F.min("level_ind").alias("level_ind"))
+    """First level with start <= t <= end for probes(particle, t_ns).
+
+    Level starts and probes are put in one order and the last start is carried forward, so the work
+    is linear in both; where two levels share an instant the earlier one is taken.
+    """
+    found = neighbours(
+        levels.select("particle", "level_ind", "start_ns", "end_ns"), ["particle"], "level_ind", before={"_before": "end_ns"}
+    )
+    starts = found.select(
+        "particle",
+        F.col("start_ns").alias("t_ns"),
+        F.lit(0).alias("_kind"),
+        F.struct("level_ind", "end_ns", "_before").alias("_level"),
+    )
+    asked = probes.select("particle", "t_ns").distinct().withColumn("_kind", F.lit(1))
+    merged = index_rows(starts.unionByName(asked, allowMissingColumns=True), ["particle"], ["t_ns", "_kind"], "_at")
+    carried = last_known(merged, ["particle"], "_at", F.col("_level"), "_hit").where("_kind = 1")
+    earlier = F.col("_hit._before") >= F.col("t_ns")
+    return carried.where(earlier | (F.col("_hit.end_ns") >= F.col("t_ns"))).select(
+        "particle", "t_ns", (F.col("_hit.level_ind") - F.when(earlier, 1).otherwise(0)).alias("level_ind")
+    )
 
 
 def step_vertices(levels: DataFrame, value: str, start: str, end: str) -> DataFrame:
@@ -99,8 +117,6 @@ def concatenated(levels: DataFrame, order: Column) -> DataFrame:
 
     The offsets come from one row per particle; ``order`` fixes the sequence of particles.
     """
-    from luxframe.operators.ordered import index_rows, running_total
-
     spans = levels.groupBy("particle").agg(
         F.sum("dwell_ms").alias("_span"), F.count(F.lit(1)).alias("_levels")
     ).withColumn("_order", order)

@@ -135,7 +135,7 @@ def sink_grouped_levels_csv(spark, folder):
 
 @query("sink_grouping_results_csv")
 def sink_grouping_results_csv(spark, folder):
-    return exporting.grouping_results(grouping.run_grouping(stats(spark, folder), every_step=False))
+    return exporting.grouping_results(grouping.group_levels(stats(spark, folder))[0])
 
 
 @query(

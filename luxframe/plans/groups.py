@@ -118,19 +118,21 @@ def ahc_merge(spark, folder):
 
 @query("run_grouping")
 def run_grouping(spark, folder):
-    return grouping.run_grouping(stats(spark, folder), every_step=False).drop("level_groups")
+    return grouping.group_levels(stats(spark, folder))[0]
 
 
 @query("em_refine")
 def em_refine(spark, folder):
     """Group of each level in the best solution."""
-    return grouping.step_assignment(grouping.run_grouping(stats(spark, folder), every_step=False))
+    return grouping.group_levels(stats(spark, folder))[1]
 
 
 @query("run_grouping_lines")
 def run_grouping_lines(spark, folder):
-    """Best number of groups for every supplier's ordered lines."""
-    steps = grouping.run_grouping(demo.line_levels(spark, folder), every_step=False)
+    """Best number of groups for every supplier's lines."""
+    lines = demo.line_levels(spark, folder, ordered=False)
+    numbered = lines.withColumn("level_ind", F.xxhash64("shipped", "line_order", "line_no", "part_key", "num_photons"))
+    steps, _ = grouping.group_levels(numbered)
     return steps.where("is_best").select("particle", "step", "num_groups", F.round("bic", 4).alias("bic"))
 
 
@@ -192,16 +194,8 @@ def global_particle(spark, folder):
 def global_grouping(spark, folder):
     """Levels of all emitters clustered together and handed back to their particles."""
     found = settle(stats(spark, folder))
-    shared = level_ops.concatenated(
-        found.withColumn("dwell_ms", F.col("dwell_s") * 1000).withColumn(
-            "end_ms", (F.col("end_ns") - 0) / 1e6
-        ),
-        F.col("particle"),
-    )
-    shared = settle(shared)
-    steps = grouping.run_grouping(
-        shared.select(F.lit("all").alias("particle"), F.col("global_ind").alias("level_ind"), "num_photons", "dwell_s"),
-        every_step=False,
-    )
-    assigned = grouping.step_assignment(steps).select(F.col("level_ind").alias("global_ind"), "group_ind")
+    ended = {"dwell_ms": F.col("dwell_s") * 1000, "end_ms": F.col("end_ns") / 1e6}
+    shared = settle(level_ops.concatenated(found.withColumns(ended), F.col("particle")))
+    together = shared.select(F.lit("all").alias("particle"), F.col("global_ind").alias("level_ind"), "num_photons", "dwell_s")
+    assigned = grouping.group_levels(together)[1].select(F.col("level_ind").alias("global_ind"), "group_ind")
     return shared.join(assigned, "global_ind").select("particle", "level_ind", "num_photons", "group_ind")

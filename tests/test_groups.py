@@ -125,3 +125,21 @@ def test_toggle(spark):
     on = grouping.toggle_groups(df)
     assert [r.using_groups for r in on.orderBy("id").collect()] == [True, True, True]
     assert [r.using_groups for r in grouping.toggle_groups(on).orderBy("id").collect()] == [False, False, True]
+
+
+def test_large_particles_reach_the_same_groups(spark):
+    frames = [two_state(1, 120).assign(particle="big"), two_state(2, 40).assign(particle="small")]
+    df = spark.createDataFrame(pd.concat(frames))
+    steps, assigned = grouping.group_levels(df, task_levels=60, seeds=2_000_000)
+    plain_steps, plain = grouping.group_levels(df)
+    key = lambda d: sorted((r.particle, r.level_ind, r.group_ind) for r in d.collect())
+    assert key(assigned) == key(plain)
+    best = lambda d: {r.particle: (r.num_groups, round(r.bic, 4)) for r in d.where("is_best").collect()}
+    assert best(steps) == best(plain_steps) and best(steps)["big"][0] == 2
+
+
+def test_large_particles_with_coarse_seeds(spark):
+    df = spark.createDataFrame(two_state(4, 300).assign(particle="big"))
+    steps, assigned = grouping.group_levels(df, task_levels=10, seeds=64)
+    assert steps.where("is_best").first().num_groups == 2
+    assert all(r.group_ind == r.level_ind % 2 for r in assigned.collect()) and assigned.count() == 300
