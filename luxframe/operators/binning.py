@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import dense_spine, index_rows, moving_frame, running_total
+from luxframe.operators.ordered import dense_spine, index_rows, moving_frame, running_total, whole
+from luxframe.session import settle
 
 EDGE = 1e-9  # values that sit on a bin edge up to floating error belong to the bin that starts there
 
 
 def bin_trace(photons: DataFrame, bin_ns: int) -> DataFrame:
     """Dense photon counts per time bin from 0; the last bin also takes its right edge."""
-    slot = F.floor(F.col("abs_ns") / F.lit(bin_ns)).cast("bigint")
-    counted = photons.groupBy("particle", slot.alias("bin")).agg(
-        F.count(F.lit(1)).alias("counts"), F.max("abs_ns").alias("_last_ns")
+    counted = settle(  # the one pass over the photons; everything below reads this table
+        photons.groupBy("particle", whole(F.col("abs_ns"), bin_ns).alias("bin")).agg(
+            F.count(F.lit(1)).alias("counts"), F.max("abs_ns").alias("_last_ns")
+        )
     )
     bounds = counted.groupBy("particle").agg(F.max("_last_ns").alias("_last_ns"))
-    bins = F.greatest(F.ceil(F.col("_last_ns") / F.lit(bin_ns)), F.lit(1)).cast("bigint")
+    bins = F.greatest(whole(F.col("_last_ns") + (bin_ns - 1), bin_ns), F.lit(1))
     bounds = bounds.select("particle", bins.alias("bins"))
     closed = (
         counted.join(bounds, "particle")
@@ -43,9 +45,10 @@ def micro_counts(photons: DataFrame, scope: list[str]) -> DataFrame:
     """Photons per distinct micro time.
 
     A timing card has a few thousand channels, so this one pre-aggregated pass turns any number of
-    photons into a small table that all decay operators share.
+    photons into a small table that all decay operators share.  It is stored, so that none of them
+    goes back to the photons.
     """
-    return photons.groupBy(*scope, "micro_ns").agg(F.count(F.lit(1)).alias("n"))
+    return settle(photons.groupBy(*scope, "micro_ns").agg(F.count(F.lit(1)).alias("n")))
 
 
 def channel_width(micro: DataFrame, scope: list[str], fallback_ns: float) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from luxframe.config import ChangePointSettings
 from luxframe.functions.critical_values import accept_value, region_value
 from luxframe.functions.wlr import series
-from luxframe.operators.ordered import small
+from luxframe.operators.ordered import small, whole
 from luxframe.session import settle, shuffle_width
 
 CHUNK = 200_000
@@ -107,7 +107,7 @@ class Chain:
 
 def chunked(photons: DataFrame, totals: DataFrame, settings: ChangePointSettings, chunk: int) -> DataFrame:
     """One row per chunk: its arrival times plus the photons a segment may reach beyond it."""
-    own = F.floor(F.col("photon_ind") / F.lit(chunk)).cast("bigint")
+    own = whole(F.col("photon_ind"), chunk)
     spill = F.when((F.col("photon_ind") - own * chunk <= settings.segment) & (own > 0), own - 1)
     placed = photons.withColumn("chunk", F.explode(F.filter(F.array(own, spill), lambda c: c.isNotNull())))
     # Few bytes but much work per chunk: the partitions are fixed here and not merged by size.
@@ -203,7 +203,7 @@ def segment_sums(photons: DataFrame, segment: int = 1000, min_photons: int = 20)
     ``u``: expectation and ``v2``: variance terms of both sides, ``sig_e`` their covariance.  The
     sums come from a table of one row per place in a segment, whatever the number of photons.
     """
-    part = F.floor(F.col("photon_ind") / F.lit(segment)).cast("bigint")
+    part = whole(F.col("photon_ind"), segment)
     inside = W.partitionBy("particle", "segment")  # at most `segment` rows
     k, n = F.col("k"), F.col("n")
     placed = (

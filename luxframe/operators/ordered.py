@@ -52,8 +52,13 @@ def index_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
     )
 
 
+def whole(value: Column, width: int) -> Column:
+    """``floor(value / width)`` of integers, exact where a double is not."""
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
+
+
 def _block(pos: str, block: int) -> Column:
-    return F.floor(F.col(pos) / F.lit(block)).cast("bigint")
+    return whole(F.col(pos), block)
 
 
 def _inside(keys: list[str], pos: str) -> W:

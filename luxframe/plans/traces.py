@@ -201,7 +201,7 @@ def g2_rebin(spark, folder):
 
     path = scratch(spark, "delays")
     delays(spark, folder).write.parquet(path)
-    return correlation.g2_histogram(spark.read.parquet(path), 25).withColumn("left_ns", F.round("left_ns", 1))
+    return correlation.g2_histogram(spark.read.parquet(path), 25, stored=True).withColumn("left_ns", F.round("left_ns", 1))
 
 
 @query("g2_sum", f"WITH {_hist_sql(60, WINDOWED)} SELECT bin, CAST(sum(counts) AS BIGINT) AS counts FROM gg GROUP BY ALL")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import index_rows, running_total
+from luxframe.operators.ordered import index_rows, running_total, whole
 from luxframe.session import settle
 
 PERIOD_US = 2 * 86_400_000_000
@@ -24,11 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def photons(spark: SparkSession, folder: str) -> DataFrame:
     """particle, channel, photon_id, period, abs_ns, micro_ns"""
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    period = F.floor(F.col("us") / PERIOD_US)
+    period = whole(F.col("us"), PERIOD_US)
     phase = F.pmod("period", F.lit(3))
     slow = F.when(phase == 0, 1).when(phase == 1, 4).otherwise(2)
     head = F.when(phase == 0, 0).when(phase == 1, 1).otherwise(5)
-    start = (F.floor(F.col("period") / 3) * 7 + head) * PERIOD_US
+    start = (whole(F.col("period"), 3) * 7 + head) * PERIOD_US
     return (
         table(spark, folder, "events")
         .withColumn("us", us)

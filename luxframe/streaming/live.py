@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from luxframe.operators.ordered import whole
+
 PHOTON_FILES = "particle string, channel int, abs_ns bigint, micro_ns double"
 
 
@@ -22,9 +24,9 @@ def live_trace(photons: DataFrame, bin_ns: int, late_s: float = 10.0) -> DataFra
 
     State is one counter per open bin and particle, whatever the photon rate.
     """
-    arrival = F.timestamp_micros(F.floor(F.col("abs_ns") / 1000).cast("bigint"))
+    arrival = F.timestamp_micros(whole(F.col("abs_ns"), 1000))
     width = f"{max(bin_ns // 1000, 1)} microseconds"
-    slot = F.floor(F.col("abs_ns") / F.lit(bin_ns)).cast("bigint")
+    slot = whole(F.col("abs_ns"), bin_ns)
     return (
         photons.withColumn("arrival", arrival)
         .withWatermark("arrival", f"{late_s} seconds")
