@@ -72,10 +72,11 @@ def preview(decays: DataFrame, keys: list[str], tau: list[float], amp: list[floa
 
         for frame in frames:
             out = frame[keys].copy()
-            out["model"] = [
-                model_curve(tau, amp, shift, np.resize(irf, len(t)), np.asarray(t), 0, len(t), True, float(np.sum(c))).tolist()
-                for t, c in zip(frame["t_ns"], frame["counts"])
-            ]
+            curves = []
+            for t, counts in zip(frame["t_ns"], frame["counts"]):
+                response = np.pad(irf, (0, max(len(t) - len(irf), 0)))[: len(t)]
+                curves.append(model_curve(tau, amp, shift, response, t, 0, len(t), True, float(counts.sum())).tolist())
+            out["model"] = curves
             yield out[[f.name for f in schema.fields]]
 
     return decays.mapInPandas(draw, schema)

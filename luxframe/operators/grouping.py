@@ -136,7 +136,8 @@ def group_stats(levels: DataFrame) -> DataFrame:
 
 def merge_group_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
     """Adjacent levels of one group become one level with the intensity of the group."""
-    around = neighbours(levels, ["particle"], "level_ind", before={"_group": "group_ind"})
+    needed = ("particle", "level_ind", "group_ind", "first_ind", "last_ind", "start_ns", "end_ns")
+    around = neighbours(levels.select(*needed), ["particle"], "level_ind", before={"_group": "group_ind"})
     starts = F.when(F.col("_group").eqNullSafe(F.col("group_ind")), 0).otherwise(1)
     runs = running_total(around, ["particle"], "level_ind", starts, "_run")
     merged = runs.groupBy("particle", (F.col("_run") - 1).alias("gl_ind")).agg(

@@ -55,22 +55,34 @@ def fit_all_scopes(spark, folder):
     return _summary(fits)
 
 
-@query("fit_preview")
+@query(
+    "fit_preview",
+    f"""WITH {DECAY_SQL} SELECT particle, CAST(ch AS INTEGER) AS ch, round(sum(counts) OVER w * exp(-ch * {WIDTH}e0 / 5)
+  / sum(exp(-ch * {WIDTH}e0 / 5)) OVER w, 5) AS model FROM dc WINDOW w AS (PARTITION BY particle)""",
+)
 def fit_preview(spark, folder):
-    packed = arrays(spark, folder)
-    return decay_fit.preview(packed, ["particle"], [5.0], [1.0], [1.0] + [0.0] * 9, 0.0)
+    """Single exponential over each decay, with an instantaneous response."""
+    curves = decay_fit.preview(arrays(spark, folder), ["particle"], [5.0], [1.0], [1.0], 0.0)
+    return curves.select("particle", F.posexplode("model").alias("ch", "model")).withColumn("model", F.round("model", 5))
+
 
+SIGMA = 0.5 / WIDTH / 2.35482
 
-@query("sim_irf")
+
+@query(
+    "sim_irf",
+    f"""WITH {DECAY_SQL}, pk AS (SELECT particle, max(counts) AS top, arg_max(ch, counts * 100000 - ch) AS top_ch FROM dc GROUP BY ALL)
+SELECT dc.particle, ch, round(top * exp(-power((ch - top_ch) / {SIGMA!r}e0, 2) / 2), 6) AS irf FROM dc
+JOIN pk ON pk.particle = dc.particle""",
+)
 def sim_irf(spark, folder):
     """Gaussian response on the peak of each decay."""
     decays = particle_decays(spark, folder)
     peak = decays.groupBy("particle").agg(
         F.max("counts").alias("top"), F.max_by("ch", F.struct("counts", -F.col("ch"))).alias("at")
     )
-    sigma = 0.5 / WIDTH / 2.35482
     return decays.join(peak, "particle").select(
-        "particle", "ch", F.round(F.col("top") * F.exp(-F.pow((F.col("ch") - F.col("at")) / sigma, F.lit(2)) / 2), 6).alias("irf")
+        "particle", "ch", F.round(F.col("top") * F.exp(-F.pow((F.col("ch") - F.col("at")) / SIGMA, F.lit(2)) / 2), 6).alias("irf")
     )
 
 
