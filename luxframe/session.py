@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +61,20 @@ def settle(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: enough for the shuffle settings and for every core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Needed wherever it is not installed on the executors, because functions inside tasks refer to it.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="luxframe-code-"), "luxframe")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "luxframe"))
+    _SHIPPED.add(application)
+
+
+_SHIPPED: set[str] = set()
