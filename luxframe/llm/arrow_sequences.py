@@ -38,6 +38,8 @@ BATCH_SEQUENCES = 128
 GAPS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f"[{GAPS}]*[^{GAPS}]+|[{GAPS}]+")
 ENDS_IN_GAP = re.compile(f"[{GAPS}]$")
+ANY_GAP = re.compile(f"[{GAPS}]")
+TAIL = ".,;:!?%*#$&|"
 MANIFEST = "shard long, ids_path string, index_path string, n_docs long, n_ids long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -53,7 +55,13 @@ class ByteEncoder:
     def __init__(self, description: str, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_str(description)
         self.table = ChunkTable(self._segment, limit)
-        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        size = self.tokenizer.get_vocab_size()
+        self.small = size <= 1 << 16
+        # A token is spelled with one character per byte of text.
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.stems: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
+        self.limit = limit
 
     @classmethod
     def of(cls, description: str) -> ByteEncoder:
@@ -63,9 +71,44 @@ class ByteEncoder:
         return _ENCODERS[description]
 
     def _segment(self, chunks: list) -> list[list[int]]:
-        # A key is a word after one space, or a tuple that holds a chunk as it stands.
-        spelled = [c[0] if isinstance(c, tuple) else f" {c}" for c in chunks]
-        return [found.ids for found in self.tokenizer.encode_batch_fast(spelled, add_special_tokens=False)]
+        """Ids of new chunks: a word after one space, or a tuple that holds a chunk as it stands.
+
+        Letters and the punctuation behind them are different pre-tokens, so a word is looked up without its
+        punctuation, and new words are encoded many at a time.
+        """
+        if len(self.stems) > self.limit:
+            self.stems, self.tails = {}, {}
+        parts = [None if isinstance(c, tuple) else self._parts(c) for c in chunks]
+        self._learn_stems({p[0] for p in parts if p} - self.stems.keys())
+        self._learn_tails({p[1] for p in parts if p and p[1]} - self.tails.keys())
+        odd = [c[0] if isinstance(c, tuple) else f" {c}" for c, p in zip(chunks, parts, strict=True) if not p]
+        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
+        return [self.stems[p[0]] + (self.tails[p[1]] if p[1] else []) if p else next(rest).ids for p in parts]
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str] | None:
+        """A word and the punctuation behind its last letter, if it may be cut there."""
+        if not word or "<|" in word or ANY_GAP.search(word):
+            return None
+        stem = word.rstrip(TAIL)
+        if stem and stem[-1].isalpha():
+            return stem, word[len(stem) :]
+        return word, ""
+
+    def _learn_stems(self, stems: set[str]) -> None:
+        ordered = sorted(stems)
+        for first in range(0, len(ordered), 500):
+            part = [f" {stem}" for stem in ordered[first : first + 500]]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.cumsum([len(p.encode()) for p in part])
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            runs = np.split(ids, cuts[:-1])
+            self.stems.update(zip(ordered[first : first + 500], (run.tolist() for run in runs), strict=True))
+
+    def _learn_tails(self, tails: set[str]) -> None:
+        ordered = sorted(tails)
+        found = self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)
+        self.tails.update(zip(ordered, (f.ids for f in found), strict=True))
 
     @staticmethod
     def chunks(text: str) -> list:
