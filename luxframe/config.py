@@ -51,15 +51,6 @@ class LevelFilter:
     dw_test: str | None = None  # one of "5%", "1%", "0.3%", "0.1%"
 
 
-SUGGESTED_FILTER = LevelFilter(
-    photons=Bound(minimum=100),
-    intensity=Bound(0, 4000),
-    lifetime=Bound(maximum=5),
-    chi_squared=Bound(0.8, 1.3),
-    irf_shift=Bound(-1.5, 1.5),
-)
-
-
 @dataclass(frozen=True)
 class Settings:
     change_points: ChangePointSettings = field(default_factory=ChangePointSettings)

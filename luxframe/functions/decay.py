@@ -8,66 +8,10 @@ import numpy as np
 
 from luxframe.config import FitSettings
 
-SECTION = 50  # channels looked at when judging the background before the rise
 FWHM_PER_SIGMA = 2.35482
 EMPTY = 1e-3  # model counts below this are taken as this in the likelihood
 
 
-def smooth(values: np.ndarray, window: int) -> np.ndarray:
-    """Moving mean with zeros beyond both ends."""
-    if window < 1:
-        return np.asarray(values, dtype=float)
-    left, right = window // 2, -(-window // 2)
-    total = np.concatenate([[0.0], np.cumsum(np.pad(np.asarray(values, dtype=float), (left, right)))])
-    return (total[left + right :][: len(values)] - total[: len(values)]) / window
-
-
-def longest_zero_run(values: np.ndarray) -> int:
-    best = run = 0
-    for empty in np.asarray(values) == 0:
-        run = run + 1 if empty else 0
-        best = max(best, run)
-    return best
-
-
-def rise_and_background(counts: np.ndarray, bg_percent: float = 5.0) -> tuple[int, float]:
-    """Channel where the rise starts and the mean count before it.
-
-    A low island of counts in front of the decay is skipped: while half of the section after the
-    first count is one gap, the search moves on behind it.
-    """
-    counts = np.asarray(counts, dtype=float)
-    filled = np.flatnonzero(counts)
-    if not len(filled):
-        return 0, 0.0
-    peak, origin = int(counts.argmax()), int(filled[0])
-    start = origin
-    gappy = lambda at: longest_zero_run(counts[at : at + SECTION]) >= SECTION / 2
-    if len(counts) - start > 2 * SECTION:
-        while gappy(start):
-            beyond = start + int(np.argmax(counts[start : start + SECTION] == 0)) + 1
-            later = filled[filled >= beyond]
-            if len(counts) - (start + beyond) < 2 * SECTION or not len(later):
-                start = origin
-                break
-            start = int(later[0])
-    typical = counts[start : start + SECTION].mean()
-    quiet = np.flatnonzero(counts[start:peak] <= typical)
-    rise = start + int(quiet[-1]) if len(quiet) else start + SECTION
-    before = counts[start:rise]
-    level = before.mean() if len(before) else 0.0
-    return rise, float(min(level, bg_percent / 100 * counts.max()))
-
-
-def irf_background(irf: np.ndarray) -> float:
-    """Mean before the last channel, coming from the peak, that is at the level of the first 20."""
-    irf = np.asarray(irf, dtype=float)
-    peak = int(irf.argmax())
-    level = int(irf[:20].mean())
-    same = np.flatnonzero(irf[1 : peak + 1].astype(int) == level)
-    return float(irf[: same[-1] + 1].mean()) if len(same) else 0.0
-
-
 def shift_circular(irf: np.ndarray, shift: float) -> np.ndarray:
     """Shift by a fractional number of channels, linearly interpolated, wrapping around."""
     whole = int(np.floor(shift))
@@ -98,55 +42,6 @@ def convolved_exponential(irf: np.ndarray, ratio: float, block: int = 64) -> np.
     return out.ravel()[: len(irf)]
 
 
-def fit_range(
-    counts: np.ndarray,
-    width_ns: float,
-    bg: float,
-    start_mode: str = "(Close to) max",
-    start: int | None = None,
-    end: int | None = None,
-    auto_end: bool = True,
-    settings: FitSettings = FitSettings(),
-    method: str = "ls",
-) -> tuple[int, int]:
-    """First and last channel of the fit.
-
-    ``start_mode`` is one of Manual, (Close to) max, Rise middle, Rise start, Safe rise start.
-    """
-    series = np.asarray(counts, dtype=float)
-    if settings.use_moving_avg:
-        series = smooth(series, min(settings.moving_avg_window, int(0.1 * len(series))))
-    window = int(np.round(settings.minimum_decay_window_ns / width_ns))
-    near_max = None
-    if start_mode == "Manual":
-        start = start or 0
-    else:
-        near_max = int(np.flatnonzero(series > settings.start_percent / 100 * series.max())[0])
-        rise, _ = rise_and_background(series)
-        start = {
-            "(Close to) max": near_max,
-            "Rise middle": int(0.5 * (rise + near_max)),
-            "Rise start": rise,
-            "Safe rise start": rise - min(near_max - rise, 10),
-        }[start_mode]
-    if auto_end:
-        floor = max(settings.end_multiple * bg, settings.end_percent / 100 * series.max())
-        above = start + np.flatnonzero(series[start:] > floor)
-        above = above[above < len(series) - 1]
-        end = int(above[-1]) if len(above) else start + window
-        if settings.use_moving_avg:
-            end += int(np.round(settings.moving_avg_window / 2))
-    elif end is not None:
-        end = min(end, len(series) - 1)
-    else:
-        end = len(series) - (1 if method == "ls" else 0)
-    if width_ns * (end - start) < settings.minimum_decay_window_ns:
-        end = (start if near_max is None else near_max) + window
-        if start_mode == "Safe rise start":
-            start -= int(np.round(0.3 * settings.minimum_decay_window_ns / width_ns))
-    return start, end
-
-
 @dataclass(frozen=True)
 class Parameter:
     """Start value and bounds; a fixed one may move by 1e-4 either way."""
@@ -188,6 +83,17 @@ class FitModel:
         return full[: self.numexp - 1] if self.method == "ml" else full
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Channels to fit and backgrounds, found beforehand."""
+
+    start: int
+    end: int
+    bg: float
+    estimated_bg: float
+    irf_bg: float = 0.0
+
+
 def _jacobian(func, p, low, high):
     base_step = 1e-6 * np.maximum(np.abs(p), 1e-2)
     columns = []
@@ -298,17 +204,13 @@ def model_curve(tau, amp, shift, irf, t, start, end, normalize=True, total=None,
     return curve
 
 
-def fit_decay(counts, t, width_ns: float, model: FitModel, irf=None) -> dict:
+def fit_decay(counts, t, width_ns: float, model: FitModel, limits: Limits, irf=None) -> dict:
     """Fit one decay.  ``irf=None`` fits a Gaussian response of width ``model.fwhm``."""
     raw = np.asarray(counts, dtype=float)
     t = np.asarray(t, dtype=float)
     ml, k = model.method == "ml", model.numexp
     simulated = irf is None
-    irf_bg = 0.0 if simulated else irf_background(irf)
-    bg = model.bg if model.bg is not None else rise_and_background(raw, model.settings.bg_percent)[1]
-    start, end = fit_range(
-        raw, width_ns, bg, model.start_mode, model.start, model.end, model.auto_end, model.settings, model.method
-    )
+    irf_bg, bg, start, end = limits.irf_bg, limits.bg, limits.start, limits.end
     start = max(start, 0)
     clean = raw if ml else np.maximum(raw - bg, 0)
     measured = clean[start:end]
@@ -328,7 +230,7 @@ def fit_decay(counts, t, width_ns: float, model: FitModel, irf=None) -> dict:
         # The background counts in units of the unscaled curve, so its start is put on that scale.
         area = (clean if simulated else response).sum() / (clean.max() if simulated else 1.0)
         area *= sum(a.start * p.start / width_ns for a, p in zip([*amps, Parameter(1, 0, 1)], taus))
-        share = min(rise_and_background(raw, model.settings.bg_percent)[1] * len(measured) / total, 0.5)
+        share = min(limits.estimated_bg * len(measured) / total, 0.5)
         parameters.append(Parameter(float(np.clip(share / (1 - share) * area / len(measured), 1e-6, 50.0)), 0.0, 50.0))
     if simulated:
         parameters.append(model.fwhm or Parameter(0.1, 0.05, 2.0))

@@ -62,6 +62,18 @@ def dropped_borders(directed: DataFrame) -> DataFrame:
     return lefts.unionByName(behind).distinct()
 
 
+def merged_levels(merged: DataFrame) -> DataFrame:
+    """The level table after removal: what :func:`burst_merges` joined, numbered on from zero."""
+    joined = merged.groupBy("particle", F.col("merged_ind").alias("level_ind")).agg(
+        F.min("start_s").alias("start_s"),
+        F.max("end_s").alias("end_s"),
+        F.sum("num_photons").alias("num_photons"),
+        F.count(F.lit(1)).alias("num_merged"),
+    )
+    dwell = F.col("end_s") - F.col("start_s")
+    return joined.withColumn("dwell_s", dwell).withColumn("int_p_s", F.try_divide("num_photons", "dwell_s"))
+
+
 def burst_merges(levels: DataFrame) -> DataFrame:
     """Add ``merged_ind``, the level that remains after bursts have joined their neighbours.
 

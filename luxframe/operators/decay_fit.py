@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from luxframe.functions.decay import DW_TERMS, FitModel, fit_decay, model_curve
+from luxframe.functions.decay import DW_TERMS, FitModel, Limits, fit_decay
+from luxframe.operators.decay_range import convolved_curves, fit_ranges, response_background
 from luxframe.session import shuffle_width
 
 _KINDS = {
@@ -30,9 +31,11 @@ def fit_lifetimes(
 ) -> DataFrame:
     """Fit each ``(keys, t_ns array, counts array)`` row holding more than ten photons.
 
-    A fit that fails leaves its row with ``error`` set and no results.  Rows are spread by key
-    first, because a fit costs far more than its bytes suggest.
+    Background and fit range come from the channel table; the task only searches parameters.  A fit
+    that fails leaves its row with ``error`` set and no results.  Rows are spread by key first,
+    because a fit costs far more than its bytes suggest.
     """
+    irf_bg = 0.0 if irf is None else _level_of(decays.sparkSession, irf)
     names = [f.name for f in RESULT.fields]
     key_fields = [f for f in decays.schema.fields if f.name in keys]
     schema = T.StructType([*key_fields, *RESULT.fields])
@@ -42,44 +45,33 @@ def fit_lifetimes(
             rows = []
             for row in frame.itertuples(index=False):
                 try:
-                    result = fit_decay(row.counts, row.t_ns, width_ns, model, irf)
+                    limits = Limits(row.first_ch, row.last_ch, row.bg, row.estimated_bg, irf_bg)
+                    result = fit_decay(row.counts, row.t_ns, width_ns, model, limits, irf)
                 except (ValueError, IndexError, ZeroDivisionError) as problem:
                     result = {**dict.fromkeys(names), "numexp": model.numexp, "method": model.method, "error": str(problem)}
                 rows.append([getattr(row, f.name) for f in key_fields] + [result[n] for n in names])
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
     enough = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c) > MIN_PHOTONS
-    spread = decays.where(enough).repartition(shuffle_width(decays.sparkSession), *keys)
-    return spread.mapInPandas(fit, schema)
+    filled = decays.where(enough)
+    m = model
+    ranges = fit_ranges(filled, keys, width_ns, m.bg, m.start_mode, m.start, m.end, m.auto_end, m.settings, m.method)
+    bounded = filled.select(*keys, "t_ns", "counts").join(ranges, keys)
+    return bounded.repartition(shuffle_width(decays.sparkSession), *keys).mapInPandas(fit, schema)
 
 
-def fit_grid(decays: DataFrame, keys: list[str], width_ns: float, models: list[FitModel]) -> DataFrame:
-    """The same decays under several models, one row per decay and model."""
-    fits = [fit_lifetimes(decays, keys, width_ns, m) for m in models]
-    out = fits[0]
-    for more in fits[1:]:
-        out = out.unionByName(more)
-    return out
+def _level_of(spark: SparkSession, irf: list[float]) -> float:
+    """Background of one response, a list of its timing channels."""
+    rows = spark.createDataFrame([(0, k, float(v)) for k, v in enumerate(irf)], "one int, ch int, counts double")
+    return response_background(rows, ["one"]).first()["irf_bg"]
 
 
 def preview(decays: DataFrame, keys: list[str], tau: list[float], amp: list[float], irf: list[float], shift: float) -> DataFrame:
-    """Model curve over each decay without fitting it."""
-    key_fields = [f for f in decays.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("model", T.ArrayType(T.DoubleType()))])
-
-    def draw(frames):
-        import numpy as np
-
-        for frame in frames:
-            out = frame[keys].copy()
-            curves = []
-            for t, counts in zip(frame["t_ns"], frame["counts"]):
-                response = np.pad(irf, (0, max(len(t) - len(irf), 0)))[: len(t)]
-                curves.append(model_curve(tau, amp, shift, response, t, 0, len(t), True, float(counts.sum())).tolist())
-            out["model"] = curves
-            yield out[[f.name for f in schema.fields]]
-
-    return decays.mapInPandas(draw, schema)
+    """Model curve over each decay without fitting it, scaled to the decay's counts."""
+    drawn = convolved_curves(decays, keys, tau, amp, irf, shift)
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    factor = F.try_divide(add("counts"), add("model"))
+    return drawn.withColumn("_f", factor).select(*keys, F.transform("model", lambda x: x * F.col("_f")).alias("model"))
 
 
 def dw_bound(points: Column, numexp: int, level: int) -> Column:

@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from luxframe.session import shuffle_width
+
 SPARK_FORMATS = {"parquet": "parquet", "csv": "csv", "orc": "orc", "json": "json"}
-SMALL_EXPORT_ROWS = 1_000_000
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write an export.  Feather, pickle and Excel are single-file formats for small tables only."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> DataFrame | None:
+    """Write an export of any size.
+
+    Feather files are written by the tasks, one per partition; the returned table ``file, rows`` lists those of
+    the tasks that finished.  Single-file formats (pickle, Excel, HDF) would pass through one machine and are refused.
+    """
     if fmt in SPARK_FORMATS:
         writer = df.write.mode(mode)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.format(SPARK_FORMATS[fmt]).save(path)
         return
-    if df.limit(SMALL_EXPORT_ROWS + 1).count() > SMALL_EXPORT_ROWS:
-        raise ValueError(f"{fmt} holds one local file; write this table as parquet instead")
-    frame = df.toPandas()
     if fmt == "feather":
-        frame.to_feather(path)
-    elif fmt == "pickle":
-        frame.to_pickle(path)
-    elif fmt == "excel":
-        frame.to_excel(path, index=False)
-    elif fmt == "hdf":
-        frame.to_hdf(path, key="data", mode="w")
-    else:
-        raise ValueError(f"unknown format {fmt}")
+        return _write_feather(df, path)
+    raise ValueError(f"unknown format {fmt}; one of {', '.join([*SPARK_FORMATS, 'feather'])}")
+
+
+def csv_round_trip(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> DataFrame:
+    """Write a CSV export, with other column headers if named, and give the rows as they were written."""
+    write_table(df.withColumnsRenamed(headers or {}), path, "csv")
+    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+
+
+def _write_feather(df: DataFrame, path: str) -> DataFrame:
+    """One Arrow file per partition under a name of its own; Spark commits the list of files."""
+    folder = path if "://" in path else f"file://{os.path.abspath(path)}"
+
+    def run(batches):
+        system, inner = pafs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        name, writer, rows = f"part-{uuid.uuid4().hex}.feather", None, 0
+        for batch in batches:
+            if writer is None:
+                sink = system.open_output_stream(f"{inner}/{name}")
+                writer = pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+            rows += batch.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "rows": [rows]})
+
+    files = f"{folder}/_files"
+    df.mapInArrow(run, "file string, rows long").write.mode("overwrite").parquet(files)
+    return df.sparkSession.read.parquet(files)
 
 
 def padded(array: str, size: int, prefix: str) -> list[Column]:
@@ -123,10 +153,17 @@ def renumber(existing: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def write_per_particle(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
-    """CSV export with one folder per particle; a large particle gets several files."""
+    """CSV export with one folder per particle.
+
+    Rows are dealt by particle and a hash first, so a particle has at most a quarter as many files as there
+    are tasks, and a very large one is still written by many of them.
+    """
     for column, header in (headers or {}).items():
         df = df.withColumnRenamed(column, header)
-    df.write.mode("overwrite").partitionBy("particle").option("header", True).csv(path)
+    tasks = shuffle_width(df.sparkSession)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(max(tasks // 4, 1)))
+    clustered = df.repartition(tasks, "particle", spread)
+    clustered.write.mode("overwrite").partitionBy("particle").option("header", True).csv(path)
 
 
 # Headers of the exported CSV tables.
@@ -171,19 +208,6 @@ def group_info(groups: DataFrame) -> DataFrame:
     )
 
 
-def lifetimes(fits: DataFrame, max_exp: int) -> DataFrame:
-    """Fit results with one column per exponential up to the highest fitted number."""
-    return fits.select(
-        "particle",
-        "scope_ind",
-        *padded("tau", max_exp, "tau_"),
-        *padded("tau_std", max_exp, "tau_std_"),
-        *padded("amp", max_exp, "amp_"),
-        *padded("amp_std", max_exp, "amp_std_"),
-        *[c for c in ("avtau", "avtau_std", "shift_ns", "bg", "irf_bg", "chisq", "dw") if c in fits.columns],
-    )
-
-
 def correlation_rows(hist: DataFrame, per_thousand: bool = False) -> DataFrame:
     """Correlation export; ``per_thousand`` divides counts by 1000 like older exports."""
     counts = F.col("counts") / 1e3 if per_thousand else F.col("counts")

@@ -8,27 +8,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from luxframe.functions.clustering import cluster
-from luxframe.operators.large_grouping import SEEDS, cluster_large
 from luxframe.operators.ordered import neighbours, running_total
 from luxframe.schema import GROUPING_STEPS
 from luxframe.session import settle, shuffle_width
 
-TASK_LEVELS = 20_000
-
 
 def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step: bool = True) -> DataFrame:
     """All clustering steps of each particle, the best one marked.
 
-    ``levels(particle, level_ind, num_photons, dwell_s)``; ``totals(particle, total_s,
-    total_photons)`` default to the sums over the levels.  The steps of a particle follow from one
-    another, so a task takes the level summary of one particle, never its photons.  With
+    ``levels(particle, level_ind, num_photons, dwell_s)`` of whole traces or of regions;
+    ``totals(particle, total_s, total_photons)`` default to the time from the start of the first to
+    the end of the last level where ``start_ns`` and ``end_ns`` are known, else to the sum of the
+    dwell times.  The steps of a particle follow from one another, so a task takes the level summary
+    of one particle, never its photons; the algorithm is the same for any number of levels.  With
     ``every_step=False`` only the best step carries its assignment, which keeps the result linear
     in the number of levels.
     """
     if totals is None:
-        totals = levels.groupBy("particle").agg(
-            F.sum("dwell_s").alias("total_s"), F.sum("num_photons").alias("total_photons")
-        )
+        total = F.sum("dwell_s")
+        if {"start_ns", "end_ns"} <= set(levels.columns):
+            total = (F.max("end_ns") - F.min("start_ns")) / 1e9
+        totals = levels.groupBy("particle").agg(total.alias("total_s"), F.sum("num_photons").alias("total_photons"))
     # Clustering is heavy for its few bytes, so the partitions are fixed here and not merged by size.
     width = shuffle_width(levels.sparkSession)
     source = levels.select("particle", "level_ind", "num_photons", "dwell_s").join(totals, "particle")
@@ -56,27 +56,10 @@ def run_grouping(levels: DataFrame, totals: DataFrame | None = None, every_step:
     return source.groupBy("particle").applyInPandas(steps, GROUPING_STEPS)
 
 
-def group_levels(levels: DataFrame, task_levels: int = TASK_LEVELS, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
-    """Steps ``(particle, step, num_groups, log_l, bic, is_best)`` and the best assignment as rows.
-
-    Particles of up to ``task_levels`` levels are clustered many at a time, each in a task.  A larger
-    one is spread over the cluster and takes part with all its levels, one pass per iteration.
-    """
-    spark = levels.sparkSession
-    slim = settle(levels.select("particle", "level_ind", "num_photons", "dwell_s"))
-    sizes = slim.groupBy("particle").agg(F.count(F.lit(1)).alias("n"))
-    large = [row.particle for row in sizes.where(F.col("n") > task_levels).collect()]
-    usual = slim.join(sizes.where(F.col("n") <= task_levels), "particle", "left_semi")
-    solved = settle(run_grouping(usual, every_step=False))
-    steps, assigned = solved.drop("level_groups"), step_assignment(solved)
-    for particle in large:
-        own = slim.where(F.col("particle") == particle).repartition(shuffle_width(spark))
-        found, members = cluster_large(settle(own), seeds)
-        best = max(range(len(found)), key=lambda k: found[k][2])
-        rows = [(particle, k, *found[k], k == best) for k in range(len(found))]
-        steps = steps.unionByName(spark.createDataFrame(rows, steps.schema))
-        assigned = assigned.unionByName(members.select("particle", "level_ind", "group_ind"))
-    return steps, assigned
+def group_levels(levels: DataFrame, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Steps ``(particle, step, num_groups, log_l, bic, is_best)`` and the best assignment as rows."""
+    solved = settle(run_grouping(levels, totals, every_step=False))
+    return solved.drop("level_groups"), step_assignment(solved)
 
 
 def step_assignment(steps: DataFrame, chosen: Column | None = None) -> DataFrame:

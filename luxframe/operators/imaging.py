@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import neighbours, running_total
+from luxframe.operators.ordered import index_rows, neighbours, running_total
 
 
 def raster_runs(particles: DataFrame, scan: str, pos: str) -> DataFrame:
-    """Number the runs of consecutive particles that carry the same scan."""
-    one = particles.withColumn("_file", F.lit(0))
-    seen = neighbours(one, ["_file"], pos, before={"_before": scan})
-    starts = F.when(F.col("_before").eqNullSafe(F.col(scan)), 0).otherwise(1)
-    runs = running_total(seen, ["_file"], pos, starts, "raster_ind")
-    return runs.withColumn("raster_ind", F.col("raster_ind") - 1).drop("_before", "_file")
+    """Number the runs of consecutive particles that carry the same scan; ``pos`` may have gaps."""
+    ranked = index_rows(particles.withColumn("_file", F.lit(0)), ["_file"], [pos], "_rank")
+    seen = neighbours(ranked, ["_file"], "_rank", before={"_before": scan})
+    starts = F.when((F.col("_rank") > 0) & F.col("_before").eqNullSafe(F.col(scan)), 0).otherwise(1)
+    runs = running_total(seen, ["_file"], "_rank", starts, "raster_ind")
+    return runs.withColumn("raster_ind", F.col("raster_ind") - 1).drop("_before", "_file", "_rank")
 
 
 def scan_hash(pixels: DataFrame) -> DataFrame:
@@ -58,6 +58,6 @@ def spectra_roi_mean(spectra: DataFrame, over: str, t_range: tuple[int, int], wl
     )
 
 
-def matrix(cells: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
-    """Wide table with one row per ``row`` and one column per known ``column`` value."""
+def matrix(cells: DataFrame, row: str, column: str, value: str, columns: list | None = None) -> DataFrame:
+    """Wide table with one row per ``row`` and one column per ``column`` value, all that occur unless named."""
     return cells.groupBy(row).pivot(column, columns).agg(F.sum(value))

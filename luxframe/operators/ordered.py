@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 from luxframe.session import settle, shuffle_width
 
 BLOCK = 1_000_000
-SMALL_TABLE_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Broadcast hint, given only after counting that the table is small."""
-    return F.broadcast(df) if df.count() <= limit else df
 
 
 def index_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -46,7 +40,7 @@ def index_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
         .drop("__n")
     )
     return (
-        staged.join(small(runs), ["__part", *keys])
+        staged.join(runs, ["__part", *keys])
         .withColumn(out, F.col("__pos") - F.col("__first") + F.col("__before"))
         .drop("__part", "__pos", "__first", "__before")
     )

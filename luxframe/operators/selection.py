@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 MODES = ("only", "add", "remove", "invert")
 
 
-def parse_ranges(text: str, highest: int) -> list[tuple[int, int]]:
-    """``"1-3,7,9-"`` as inclusive ranges; an open end means ``highest``."""
+def parse_ranges(text: str) -> list[tuple[int, int | None]]:
+    """``"1-3,7,9-"`` as inclusive ranges; an open end is ``None``."""
     ranges = []
     for part in text.replace(" ", "").split(","):
         if not part:
@@ -20,21 +20,23 @@ def parse_ranges(text: str, highest: int) -> list[tuple[int, int]]:
         if not match:
             raise ValueError(f"not a range: {part}")
         low = int(match[1])
-        high = low if match[2] is None else int(match[3] or highest)
+        high = low if match[2] is None else int(match[3]) if match[3] else None
         ranges.append((low, high))
     return ranges
 
 
-def select_particles(particles: DataFrame, text: str, mode: str = "only", highest: int = 100) -> DataFrame:
+def select_particles(particles: DataFrame, text: str, mode: str = "only") -> DataFrame:
     """Update ``selected`` from 1-based ``particle_number`` ranges.
 
-    Ranges stay ranges: the choice is one predicate, however many particles it covers.
+    Ranges stay ranges: the choice is one predicate, however many particles it covers, and an open
+    range reaches the last of them.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     named = F.lit(False)
-    for low, high in parse_ranges(text, highest):
-        named = named | F.col("particle_number").between(low, high)
+    number = F.col("particle_number")
+    for low, high in parse_ranges(text):
+        named = named | ((number >= low) if high is None else number.between(low, high))
     current = F.col("selected")
     outcome = {
         "only": named,

@@ -12,11 +12,16 @@ from luxframe.plans.fits import NARROW, SHIFT
 from luxframe.plans.groups import GROUPED_SQL, grouped_lines
 from luxframe.plans.levels import LINE_ROI_SQL, line_roi, stats
 from luxframe.plans.scans import scratch
-from luxframe.plans.traces import G2_WINDOW_PS, TRACE_SQL, WINDOWED, WIDTH, _hist_sql, bin_trace, delays, particle_decays
+from luxframe.plans.traces import G2_WINDOW_PS, TRACE_SQL, WINDOWED, WIDTH, _hist_sql, bin_trace, particle_decays
 from luxframe.sources import demo, saved
 from luxframe.sources.demo import LINES_SQL, PHOTONS_SQL, table
 
 
+def written(spark, rows, name, headers=None):
+    """Rows of a CSV export, read back from its files."""
+    return exporting.csv_round_trip(rows, scratch(spark, name), headers)
+
+
 @query(
     "sink_dataframe",
     f"WITH {LINES_SQL} SELECT {KEYS}, num_photons, dwell_ms FROM ln1",
@@ -91,7 +96,8 @@ def sink_trace_roi_csv(spark, folder):
 )
 def sink_levels_csv(spark, folder):
     rows = exporting.level_rows(demo.line_levels(spark, folder))
-    return rows.withColumns({"start": F.round("start", 3), "end": F.round("end", 3), "int": F.round("int", 4)})
+    rounded = rows.withColumns({"start": F.round("start", 3), "end": F.round("end", 3), "int": F.round("int", 4)})
+    return written(spark, rounded, "levels", exporting.LEVEL_HEADERS)
 
 
 @query(
@@ -101,7 +107,7 @@ UNION ALL SELECT particle, level_ind, 1, round(end_s, 3), round(int_p_s, 4) FROM
 )
 def sink_level_plot_csv(spark, folder):
     curve = level_ops.step_vertices(demo.line_levels(spark, folder), "int_p_s", "start_s", "end_s")
-    return curve.withColumns({"t": F.round("t", 3), "y": F.round("y", 4)})
+    return written(spark, curve.withColumns({"t": F.round("t", 3), "y": F.round("y", 4)}), "level-plot")
 
 
 MERGED_SQL = f"""{GROUPED_SQL}, mg AS (SELECT *, level_ind - row_number() OVER (PARTITION BY particle, group_ind ORDER BY level_ind)
@@ -123,7 +129,7 @@ def sink_grouped_levels_csv(spark, folder):
     begins = spans.select("particle", F.col("level_ind").alias("first_ind"), "start_s")
     stops = spans.select("particle", F.col("level_ind").alias("last_ind"), "end_s")
     timed = merged.join(begins, ["particle", "first_ind"]).join(stops, ["particle", "last_ind"])
-    return timed.select(
+    rows = timed.select(
         "particle",
         (F.col("gl_ind") + 1).alias("level"),
         F.round("start_s", 3).alias("start"),
@@ -131,11 +137,12 @@ def sink_grouped_levels_csv(spark, folder):
         F.round("int_p_s", 4).alias("int"),
         (F.col("group_ind") + 1).alias("group_index"),
     )
+    return written(spark, rows, "grouped-levels")
 
 
 @query("sink_grouping_results_csv")
 def sink_grouping_results_csv(spark, folder):
-    return exporting.grouping_results(grouping.group_levels(stats(spark, folder))[0])
+    return written(spark, exporting.grouping_results(grouping.group_levels(stats(spark, folder))[0]), "grouping-results")
 
 
 @query(
@@ -145,7 +152,7 @@ def sink_grouping_results_csv(spark, folder):
 )
 def sink_group_info_csv(spark, folder):
     info = exporting.group_info(grouping.group_stats(grouped_lines(spark, folder, ordered=False)))
-    return info.withColumns({"int_p_s": F.round("int_p_s", 4), "dwell_s": F.round("dwell_s", 3)})
+    return written(spark, info.withColumns({"int_p_s": F.round("int_p_s", 4), "dwell_s": F.round("dwell_s", 3)}), "group-info")
 
 
 @query(
@@ -166,7 +173,8 @@ def sink_lifetimes_csv(spark, folder):
     )
     columns = [*exporting.padded("tau", 3, "tau_"), *exporting.padded("amp", 3, "amp_")]
     wide = suppliers.select("particle", "scope_ind", "line_no", "part_key", *columns)
-    return wide.withColumns({f"{p}_{k}": F.round(f"{p}_{k}", 6) for p in ("tau", "amp") for k in (1, 2, 3)})
+    rounded = wide.withColumns({f"{p}_{k}": F.round(f"{p}_{k}", 6) for p in ("tau", "amp") for k in (1, 2, 3)})
+    return written(spark, rounded, "lifetimes")
 
 
 @query("sink_hists_csv")
@@ -175,28 +183,24 @@ def sink_hists_csv(spark, folder):
     decays = particle_decays(spark, folder)
     packed = binning.decay_arrays(decays, ["particle"])
     fits = decay_fit.fit_lifetimes(packed, ["particle"], WIDTH, FitModel(1, fwhm=NARROW, shift=SHIFT))
-    return exporting.hist_table(decays, fits)
+    return written(spark, exporting.hist_table(decays, fits), "histograms")
 
 
 @query("sink_corr_csv", f"WITH {_hist_sql(60, WINDOWED)} SELECT particle, bin + 1 AS bin_number, left_ns, counts / 1e3 AS counts FROM gg")
 def sink_corr_csv(spark, folder):
-    hist = correlation.g2_histogram(delays(spark, folder), 60, G2_WINDOW_PS).withColumn("left_ns", F.round("left_ns", 1))
-    return exporting.correlation_rows(hist, per_thousand=True)
-
-
-BRANDS = [f"Brand#{k}" for k in range(1, 6)]
+    hist = correlation.g2_fixed(demo.photons(spark, folder), G2_WINDOW_PS, 60).withColumn("left_ns", F.round("left_ns", 1))
+    return written(spark, exporting.correlation_rows(hist, per_thousand=True), "correlation")
 
 
 @query(
     "sink_raster_2d",
-    "SELECT p_size AS y, "
-    + ", ".join(f"round(sum(p_retailprice) FILTER (p_brand = '{b}'), 2) AS \"{b}\"" for b in BRANDS)
-    + " FROM part GROUP BY ALL",
+    """SELECT * FROM (PIVOT (SELECT p_size AS y, p_brand, p_retailprice FROM part)
+ON p_brand USING round(sum(p_retailprice), 2) GROUP BY y)""",
 )
 def sink_raster_2d(spark, folder):
     """A grid of part sizes by brand as rows and columns of an image."""
-    wide = imaging.matrix(table(spark, folder, "part").withColumnRenamed("p_size", "y"), "y", "p_brand", "p_retailprice", BRANDS)
-    return wide.select("y", *[F.round(F.col(f"`{b}`"), 2).alias(b) for b in BRANDS])
+    wide = imaging.matrix(table(spark, folder, "part").withColumnRenamed("p_size", "y"), "y", "p_brand", "p_retailprice")
+    return written(spark, wide.select("y", *[F.round(F.col(f"`{b}`"), 2).alias(b) for b in wide.columns if b != "y"]), "raster")
 
 
 @query(
@@ -207,7 +211,7 @@ def sink_raster_2d(spark, folder):
 )
 def sink_spectra_2d(spark, folder):
     wide = imaging.matrix(spectra(spark, folder), "t_ind", "wl_ind", "counts", list(range(64)))
-    return wide.select("t_ind", *[F.round(F.col(f"`{k}`"), 6).alias(f"wl_{k}") for k in range(64)])
+    return written(spark, wide.select("t_ind", *[F.round(F.col(f"`{k}`"), 6).alias(f"wl_{k}") for k in range(64)]), "spectra")
 
 
 @query(

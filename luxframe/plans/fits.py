@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luxframe.functions.decay import FitModel, Parameter
-from luxframe.operators import binning, decay_fit, exporting
+from luxframe.operators import binning, decay_fit, decay_range, exporting
 from luxframe.plans.catalog import query
 from luxframe.plans.levels import level_bounds
 from luxframe.plans.traces import DECAY_SQL, WIDTH, particle_decays
@@ -66,6 +69,97 @@ def fit_preview(spark, folder):
     return curves.select("particle", F.posexplode("model").alias("ch", "model")).withColumn("model", F.round("model", 5))
 
 
+def background_sql(series: str, tag: str = "") -> str:
+    """Tables up to ``bk{tag}`` (particle, rise, top, bg) of a series (particle, ch, counts)."""
+    return f"""sz{tag} AS (SELECT particle, count(*) AS size, max(counts) AS top, arg_max(ch, counts * 1000000 - ch) AS peak
+  FROM {series} GROUP BY ALL),
+fi{tag} AS (SELECT s.particle, ch, size, lag(ch) OVER w AS before, coalesce(lead(ch) OVER w, size) AS after FROM {series} s
+  JOIN sz{tag} z ON z.particle = s.particle WHERE counts > 0 WINDOW w AS (PARTITION BY s.particle ORDER BY ch)),
+hd{tag} AS (SELECT particle, ch, (before IS NULL OR ch - before > 1) AND size - ch > 100 AND NOT EXISTS (SELECT 1 FROM fi{tag} b
+  WHERE b.particle = a.particle AND b.ch >= a.ch AND b.ch < a.ch + 25 AND b.after - b.ch > 25) AS steady FROM fi{tag} a),
+st{tag} AS (SELECT particle, coalesce(min(ch) FILTER (steady), min(ch)) AS start FROM hd{tag} GROUP BY ALL),
+ty{tag} AS (SELECT s.particle, start, peak, top, avg(counts) FILTER (ch BETWEEN start AND start + 49) AS typical FROM {series} s
+  JOIN sz{tag} z ON z.particle = s.particle JOIN st{tag} t ON t.particle = s.particle GROUP BY ALL),
+ri{tag} AS (SELECT s.particle, start, top, coalesce(max(ch) FILTER (ch >= start AND ch < peak AND counts <= typical), min(start) + 50) AS rise
+  FROM {series} s JOIN ty{tag} t ON t.particle = s.particle GROUP BY ALL),
+bk{tag} AS (SELECT s.particle, rise, top, least(coalesce(avg(counts) FILTER (ch >= start AND ch < rise), 0), 0.05e0 * min(top)) AS bg
+  FROM {series} s JOIN ri{tag} r ON r.particle = s.particle GROUP BY ALL)"""
+
+
+@query(
+    "estimate_bg",
+    f"""WITH {DECAY_SQL}, {background_sql("dc")}
+SELECT particle, CAST(rise AS INTEGER) AS rise_ch, round(bg, 8) AS bg FROM bk""",
+)
+def estimate_bg(spark, folder):
+    found = decay_range.background(particle_decays(spark, folder), ["particle"])
+    return found.withColumn("bg", F.round("bg", 8))
+
+
+@query(
+    "calc_irf_bg",
+    f"""WITH {DECAY_SQL}, h AS (SELECT particle, CAST(floor(avg(counts) FILTER (ch < 20)) AS BIGINT) AS level,
+  arg_max(ch, counts * 1000000 - ch) AS peak FROM dc GROUP BY ALL),
+l AS (SELECT dc.particle, max(ch) AS last FROM dc JOIN h ON h.particle = dc.particle
+  WHERE ch > 0 AND ch <= peak AND counts = level GROUP BY ALL)
+SELECT dc.particle, round(coalesce(avg(counts) FILTER (ch < last), 0), 8) AS irf_bg FROM dc
+LEFT JOIN l ON l.particle = dc.particle GROUP BY ALL""",
+)
+def calc_irf_bg(spark, folder):
+    """The decays taken as responses."""
+    found = decay_range.response_background(particle_decays(spark, folder), ["particle"])
+    return found.withColumn("irf_bg", F.round("irf_bg", 8))
+
+
+MODES = ("(Close to) max", "Rise middle", "Rise start", "Safe rise start")
+SMOOTH_SQL = """sm AS (SELECT particle, ch, sum(counts) OVER (PARTITION BY particle ORDER BY ch
+  ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10e0 AS counts FROM dc)"""
+
+
+@query(
+    "fit_boundaries",
+    f"""WITH {DECAY_SQL}, {background_sql("dc")}, {SMOOTH_SQL},
+{background_sql("sm", "2")},
+nr AS (SELECT s.particle, b.top, b.rise, r.bg, min(ch) FILTER (counts > 0.8e0 * b.top) AS near, count(*) AS size FROM sm s
+  JOIN bk2 b ON b.particle = s.particle JOIN bk r ON r.particle = s.particle GROUP BY ALL),
+bg2 AS (SELECT *, UNNEST(['(Close to) max', 'Rise middle', 'Rise start', 'Safe rise start']) AS start_mode FROM nr),
+bn AS (SELECT *, CASE start_mode WHEN '(Close to) max' THEN near WHEN 'Rise middle' THEN (rise + near) // 2 WHEN 'Rise start' THEN rise
+  ELSE rise - least(near - rise, 10) END AS start FROM bg2),
+en AS (SELECT n.particle, start_mode, near, start, coalesce(max(ch) FILTER (ch >= start AND counts > greatest(20 * bg, 0.01e0 * top)
+  AND ch < size - 1), min(start) + 5) + 5 AS stop FROM bn n JOIN sm s ON s.particle = n.particle GROUP BY ALL)
+SELECT particle, start_mode,
+  CAST(CASE WHEN {WIDTH}e0 * (stop - start) < 0.5e0 AND start_mode = 'Safe rise start' THEN start - 2 ELSE start END AS INTEGER) AS first_ch,
+  CAST(CASE WHEN {WIDTH}e0 * (stop - start) < 0.5e0 THEN near + 5 ELSE stop END AS INTEGER) AS last_ch FROM en""",
+)
+def fit_boundaries(spark, folder):
+    """Fit range of every decay in the four automatic modes."""
+    decays = arrays(spark, folder)
+    parts = [
+        decay_range.fit_ranges(decays, ["particle"], WIDTH, start_mode=mode).select(
+            "particle", F.lit(mode).alias("start_mode"), "first_ch", "last_ch"
+        )
+        for mode in MODES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+CURVE = {"tau": [1.0, 5.0], "amp": [0.4, 0.6], "irf": [0.2, 0.6, 0.0, 0.2], "shift": 1.25}
+
+
+@query(
+    "convolve_model",
+    f"""WITH {DECAY_SQL}, n AS (SELECT particle, count(*) AS size FROM dc GROUP BY ALL),
+v AS (SELECT * FROM (VALUES (1, 0.15e0), (2, 0.05e0 + 0.45e0), (3, 0.15e0), (4, 0.15e0), (5, 0.05e0)) AS x(k, w)),
+p AS (SELECT particle, k % size AS pos, w FROM n, v)
+SELECT dc.particle, CAST(ch AS INTEGER) AS ch, round(coalesce(sum(w * (0.4e0 * exp(-(ch - pos) * {WIDTH}e0) + 0.6e0 * exp(-(ch - pos) * {WIDTH}e0 / 5)))
+  FILTER (pos <= ch), 0), 8) AS model FROM dc JOIN p ON p.particle = dc.particle GROUP BY ALL""",
+)
+def convolve_model(spark, folder):
+    """Two exponentials convolved with a shifted response of three filled channels."""
+    curves = decay_range.convolved_curves(arrays(spark, folder), ["particle"], **CURVE)
+    return curves.select("particle", F.posexplode("model").alias("ch", "model")).withColumn("model", F.round("model", 8))
+
+
 SIGMA = 0.5 / WIDTH / 2.35482
 
 

@@ -130,9 +130,7 @@ def em_refine(spark, folder):
 @query("run_grouping_lines")
 def run_grouping_lines(spark, folder):
     """Best number of groups for every supplier's lines."""
-    lines = demo.line_levels(spark, folder, ordered=False)
-    numbered = lines.withColumn("level_ind", F.xxhash64("shipped", "line_order", "line_no", "part_key", "num_photons"))
-    steps, _ = grouping.group_levels(numbered)
+    steps, _ = grouping.group_levels(demo.line_levels(spark, folder).select("particle", "level_ind", "num_photons", "dwell_s"))
     return steps.where("is_best").select("particle", "step", "num_groups", F.round("bic", 4).alias("bic"))
 
 

@@ -147,11 +147,29 @@ def remove_bursts(spark, folder):
     )
 
 
+@query(
+    "levels_without_bursts",
+    f"""WITH {MERGE_SQL}, jn AS (SELECT mi.particle, merged_ind AS level_ind, min(end_ms - ln.dwell_ms) AS b, max(end_ms) AS e,
+  CAST(sum(mi.num_photons) AS BIGINT) AS num_photons, count(*) AS num_merged FROM mi
+  JOIN ln ON ln.particle = mi.particle AND ln.level_ind = mi.level_ind GROUP BY ALL)
+SELECT particle, level_ind, round(b / 1000e0, 3) AS start_s, round(e / 1000e0, 3) AS end_s, num_photons, num_merged,
+  round((e - b) / 1000e0, 3) AS dwell_s, round(num_photons / ((e - b) / 1000e0), 3) AS int_p_s FROM jn""",
+)
+def levels_without_bursts(spark, folder):
+    """The level table that remains: times, photons and intensities of the joined levels."""
+    joined = bursts.merged_levels(bursts.burst_merges(line_bursts(spark, folder)))
+    return joined.withColumns({c: F.round(c, 3) for c in ("start_s", "end_s", "dwell_s", "int_p_s")})
+
+
 @query("restore_bursts", f"WITH {LINES_SQL} SELECT particle, level_ind, num_photons FROM ln")
 def restore_bursts(spark, folder):
-    """Merging only adds a column, so the levels before it are still there."""
-    merged = bursts.burst_merges(line_bursts(spark, folder))
-    return merged.select("particle", "level_ind", "num_photons")
+    """The levels as they were saved before the removal."""
+    from luxframe.plans.scans import scratch
+    from luxframe.sources import saved
+
+    path = scratch(spark, "before-removal")
+    saved.save_analysis({"levels": line_bursts(spark, folder)}, path)
+    return saved.load_analysis(spark, path, ["levels"])["levels"].select("particle", "level_ind", "num_photons")
 
 
 @query(

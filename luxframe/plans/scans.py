@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from luxframe.operators import binning, selection
-from luxframe.operators.ordered import index_rows, rows_in_intervals
+from luxframe.operators.ordered import dense_spine, index_rows, rows_in_intervals
 from luxframe.plans.catalog import query
 from luxframe.session import checkpoint_folder
 from luxframe.sources import demo, formats, saved, timetags
@@ -139,7 +139,7 @@ def scan_h5(spark, folder):
 
 CURVE_SQL = """hist AS (SELECT event_type AS particle, CAST(floor(value * 2) AS BIGINT) AS ch, count(*) AS n
   FROM events GROUP BY ALL),
-spine AS (SELECT particle, UNNEST(range(0, 1024)) AS ch FROM (SELECT DISTINCT particle FROM hist)),
+spine AS (SELECT particle, UNNEST(range(0, max(ch) + 1)) AS ch FROM hist GROUP BY particle),
 curve AS (SELECT s.particle, s.ch, coalesce(n, 0) AS counts FROM spine s
   LEFT JOIN hist h ON h.particle = s.particle AND h.ch = s.ch)"""
 
@@ -151,15 +151,14 @@ SELECT c.particle, c.ch, round(c.ch * 5e-11 * 1e9, 6) AS t_ns, c.counts FROM cur
 WHERE c.ch <= last""",
 )
 def scan_phu_irf(spark, folder):
-    """Histogram curves of 1024 channels, cut behind the last count."""
+    """Histogram curves over all channels up to the last count."""
     counted = (
         table(spark, folder, "events")
         .groupBy(F.col("event_type").alias("particle"), F.floor(F.col("value") * 2).cast("bigint").alias("ch"))
         .agg(F.count(F.lit(1)).alias("counts"))
     )
-    spine = counted.select("particle").distinct().withColumn(
-        "ch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1023).cast("bigint")))
-    )
+    channels = counted.groupBy("particle").agg((F.max("ch") + 1).alias("channels"))
+    spine = dense_spine(channels, ["particle"], "channels", "ch").drop("channels")
     curve = spine.join(counted, ["particle", "ch"], "left").withColumn("counts", F.coalesce("counts", F.lit(0)))
     trimmed = binning.trimmed_curve(curve, ["particle"], F.lit(5e-11))
     return trimmed.withColumn("t_ns", F.round("t_ns", 6))

@@ -190,7 +190,7 @@ def g2_histogram(spark, folder):
 
 @query("g2_fixed_window", f"WITH {_hist_sql(60, WINDOWED)} SELECT * FROM gg")
 def g2_fixed_window(spark, folder):
-    hist = correlation.g2_histogram(delays(spark, folder), 60, G2_WINDOW_PS)
+    hist = correlation.g2_fixed(demo.photons(spark, folder), G2_WINDOW_PS, 60)
     return hist.withColumn("left_ns", F.round("left_ns", 1))
 
 
@@ -206,7 +206,7 @@ def g2_rebin(spark, folder):
 
 @query("g2_sum", f"WITH {_hist_sql(60, WINDOWED)} SELECT bin, CAST(sum(counts) AS BIGINT) AS counts FROM gg GROUP BY ALL")
 def g2_sum(spark, folder):
-    hist = correlation.g2_histogram(delays(spark, folder), 60, G2_WINDOW_PS)
+    hist = correlation.g2_fixed(demo.photons(spark, folder), G2_WINDOW_PS, 60)
     return correlation.g2_sum(hist, demo.photons(spark, folder))
 
 

@@ -24,13 +24,14 @@ def live_trace(photons: DataFrame, bin_ns: int, late_s: float = 10.0) -> DataFra
 
     State is one counter per open bin and particle, whatever the photon rate.
     """
-    arrival = F.timestamp_micros(whole(F.col("abs_ns"), 1000))
-    width = f"{max(bin_ns // 1000, 1)} microseconds"
-    slot = whole(F.col("abs_ns"), bin_ns)
+    # The event time is the start of the bin, so the bin and its time are one key.  A bin stays open
+    # for its own length and for ``late_s`` more.
+    binned = photons.withColumn("bin", whole(F.col("abs_ns"), bin_ns))
+    timed = binned.withColumn("opened", F.timestamp_micros(whole(F.col("bin") * bin_ns, 1000)))
+    wait_us = -(-bin_ns // 1000) + round(late_s * 1e6)
     return (
-        photons.withColumn("arrival", arrival)
-        .withWatermark("arrival", f"{late_s} seconds")
-        .groupBy("particle", F.window("arrival", width).alias("span"), slot.alias("bin"))
+        timed.withWatermark("opened", f"{wait_us} microseconds")
+        .groupBy("particle", "opened", "bin")
         .agg(F.count(F.lit(1)).alias("counts"))
         .select("particle", "bin", "counts")
     )

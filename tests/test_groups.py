@@ -127,19 +127,23 @@ def test_toggle(spark):
     assert [r.using_groups for r in grouping.toggle_groups(on).orderBy("id").collect()] == [False, False, True]
 
 
-def test_large_particles_reach_the_same_groups(spark):
+def test_groups_do_not_depend_on_the_partitions(spark):
     frames = [two_state(1, 120).assign(particle="big"), two_state(2, 40).assign(particle="small")]
     df = spark.createDataFrame(pd.concat(frames))
-    steps, assigned = grouping.group_levels(df, task_levels=60, seeds=2_000_000)
-    plain_steps, plain = grouping.group_levels(df)
-    key = lambda d: sorted((r.particle, r.level_ind, r.group_ind) for r in d.collect())
-    assert key(assigned) == key(plain)
-    best = lambda d: {r.particle: (r.num_groups, round(r.bic, 4)) for r in d.where("is_best").collect()}
-    assert best(steps) == best(plain_steps) and best(steps)["big"][0] == 2
-
-
-def test_large_particles_with_coarse_seeds(spark):
-    df = spark.createDataFrame(two_state(4, 300).assign(particle="big"))
-    steps, assigned = grouping.group_levels(df, task_levels=10, seeds=64)
-    assert steps.where("is_best").first().num_groups == 2
-    assert all(r.group_ind == r.level_ind % 2 for r in assigned.collect()) and assigned.count() == 300
+    found = [grouping.group_levels(df.repartition(n)) for n in (1, 7)]
+    steps = [sorted((r.particle, r.step, r.num_groups, r.log_l, r.bic) for r in s.collect()) for s, _ in found]
+    assigned = [sorted((r.particle, r.level_ind, r.group_ind) for r in a.collect()) for _, a in found]
+    assert steps[0] == steps[1] and assigned[0] == assigned[1]
+
+
+def test_total_time_is_that_of_the_trace(spark):
+    frame = two_state(3, 30).assign(particle="p")
+    frame["start_ns"] = (frame["dwell_s"].cumsum() - frame["dwell_s"]) * 2e9
+    frame["end_ns"] = frame["start_ns"] + frame["dwell_s"] * 1e9
+    whole = (frame["end_ns"].max() - frame["start_ns"].min()) / 1e9
+    df = spark.createDataFrame(frame)
+    totals = spark.createDataFrame([("p", float(whole), int(frame["num_photons"].sum()))], "particle string, total_s double, total_photons long")
+    key = lambda d: sorted((r.step, r.num_groups, r.bic) for r in d.collect())
+    given, derived = grouping.group_levels(df, totals)[0], grouping.group_levels(df)[0]
+    summed = grouping.group_levels(df.drop("start_ns", "end_ns"))[0]
+    assert key(given) == key(derived) != key(summed)
