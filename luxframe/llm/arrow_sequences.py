@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,19 @@ BATCH_SEQUENCES = 128
 # White space as the pre-tokenizer's expressions understand it.
 GAPS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNKS = re.compile(f"[{GAPS}]*[^{GAPS}]+|[{GAPS}]+")
-ENDS_IN_GAP = re.compile(f"[{GAPS}]$")
-ANY_GAP = re.compile(f"[{GAPS}]")
+PLAIN_GAPS = [f"{gap} " for gap in GAPS if gap < "\x80" and gap != " "]
+RARE_GAPS = re.compile(f"[{''.join(gap for gap in GAPS if gap >= chr(128))}] ")
 TAIL = ".,;:!?%*#$&|"
+
+
+def _spelling() -> dict[int, int]:
+    """How the model spells bytes: visible ones as they are, the others as characters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return dict(zip((b for b in range(256) if b not in visible), range(256, 512), strict=False))
+
+
+SPELLED = _spelling()
+SPACE = chr(SPELLED[32])
 MANIFEST = "shard long, ids_path string, index_path string, n_docs long, n_ids long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -52,16 +63,12 @@ class ByteEncoder:
     chunks (white space, then visible characters) are encoded once each and joined back by position.
     """
 
-    def __init__(self, description: str, limit: int = 500_000):
+    def __init__(self, description: str, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_str(description)
         self.table = ChunkTable(self._segment, limit)
-        size = self.tokenizer.get_vocab_size()
-        self.small = size <= 1 << 16
-        # A token is spelled with one character per byte of text.
-        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.stems: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
-        self.limit = limit
+        self.limit, self.passed = limit, 0
 
     @classmethod
     def of(cls, description: str) -> ByteEncoder:
@@ -74,46 +81,36 @@ class ByteEncoder:
         """Ids of new chunks: a word after one space, or a tuple that holds a chunk as it stands.
 
         Letters and the punctuation behind them are different pre-tokens, so a word is looked up without its
-        punctuation, and new words are encoded many at a time.
+        punctuation.  The letters of a word are one pre-token, which goes to the tokenizer's model directly.
         """
-        if len(self.stems) > self.limit:
-            self.stems, self.tails = {}, {}
+        if self.passed > ChunkTable.RENEWAL * self.limit:
+            self.stems, self.passed = {}, 0
         parts = [None if isinstance(c, tuple) else self._parts(c) for c in chunks]
-        self._learn_stems({p[0] for p in parts if p} - self.stems.keys())
-        self._learn_tails({p[1] for p in parts if p and p[1]} - self.tails.keys())
+        tokenize, stems, new = self.tokenizer.model.tokenize, self.stems, {}
+        for stem in {part[0] for part in parts if part} - stems.keys():
+            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLED)
+            new[stem] = [token.id for token in tokenize(SPACE + spelled)]
+        room = self.limit - len(self.stems)
+        self.passed += max(len(new) - room, 0)
+        self.stems.update(islice(new.items(), max(room, 0)))
+        tails = sorted({part[1] for part in parts if part and part[1]})
         odd = [c[0] if isinstance(c, tuple) else f" {c}" for c, p in zip(chunks, parts, strict=True) if not p]
-        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
-        return [self.stems[p[0]] + (self.tails[p[1]] if p[1] else []) if p else next(rest).ids for p in parts]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(tails + odd, add_special_tokens=False)]
+        behind, rest = dict(zip(tails, found, strict=False)) | {"": []}, iter(found[len(tails) :])
+        new |= {stem: stems[stem] for stem in {part[0] for part in parts if part} - new.keys()}
+        return [new[part[0]] + behind[part[1]] if part else next(rest) for part in parts]
 
     @staticmethod
     def _parts(word: str) -> tuple[str, str] | None:
-        """A word and the punctuation behind its last letter, if it may be cut there."""
-        if not word or "<|" in word or ANY_GAP.search(word):
-            return None
+        """The letters of a word and the punctuation behind them, if it is made of these alone."""
         stem = word.rstrip(TAIL)
-        if stem and stem[-1].isalpha():
-            return stem, word[len(stem) :]
-        return word, ""
-
-    def _learn_stems(self, stems: set[str]) -> None:
-        ordered = sorted(stems)
-        for first in range(0, len(ordered), 500):
-            part = [f" {stem}" for stem in ordered[first : first + 500]]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum([len(p.encode()) for p in part])
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            runs = np.split(ids, cuts[:-1])
-            self.stems.update(zip(ordered[first : first + 500], (run.tolist() for run in runs), strict=True))
-
-    def _learn_tails(self, tails: set[str]) -> None:
-        ordered = sorted(tails)
-        found = self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)
-        self.tails.update(zip(ordered, (f.ids for f in found), strict=True))
+        return (stem, word[len(stem) :]) if stem.isalpha() else None
 
     @staticmethod
     def chunks(text: str) -> list:
         words = text.split(" ")
-        if "" in words or any(map(ENDS_IN_GAP.search, words[:-1])):
+        ends_in_gap = any(gap in text for gap in PLAIN_GAPS) or (not text.isascii() and RARE_GAPS.search(text))
+        if ends_in_gap or "" in words:
             return [(chunk,) for chunk in CHUNKS.findall(text)]
         words[0] = (words[0],)
         return words

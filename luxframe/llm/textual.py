@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +83,13 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ChunkTable(dict):
     """Distinct chunks of text, each segmented once, with the ids of all of them end to end.
 
-    ``segment`` turns a list of new chunks into a list of id lists.  At most ``limit`` chunks are
-    remembered between batches; beyond that the table starts again, which only costs time.
+    ``segment`` turns a list of new chunks into a list of id lists.  The first ``limit`` chunks are
+    remembered, which are nearly all of the frequent ones; later ones are forgotten after their batch, and
+    after ``RENEWAL`` times ``limit`` of those the table starts again, in case the texts have changed.
     """
 
+    RENEWAL = 16
+
     def __init__(self, segment: Callable[[list], list], limit: int = 400_000):
         super().__init__()
         self.segment, self.limit = segment, limit
@@ -94,23 +98,38 @@ class ChunkTable(dict):
     def _forget(self) -> None:
         self.clear()
         self.fresh: list = []
+        self.late: list = []
+        self.passed = 0
         self.starts = self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
     def __missing__(self, chunk) -> int:
         code = self[chunk] = len(self.starts) + len(self.fresh)
         self.fresh.append(chunk)
+        if code >= self.limit:
+            self.late.append(chunk)
         return code
 
-    def codes(self, documents: list[list]) -> list[np.ndarray]:
-        """Table rows of the chunks of each document."""
-        if len(self) > self.limit:
+    def _trim(self) -> None:
+        """Forget the chunks beyond the limit."""
+        self.passed += len(self.late)
+        if self.passed > self.RENEWAL * self.limit:
             self._forget()
+        for chunk in self.late:
+            del self[chunk]
+        if self.late:
+            self.flat = self.flat[: self.starts[self.limit]].copy()
+            self.starts, self.sizes = self.starts[: self.limit].copy(), self.sizes[: self.limit].copy()
+            self.late = []
+
+    def codes(self, documents: list[list]) -> list[np.ndarray]:
+        """Table rows of the chunks of each document, valid until the next batch."""
+        self._trim()
         found = [np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)) for chunks in documents]
         if self.fresh:
             new = self.segment(self.fresh)
             sizes = np.fromiter(map(len, new), np.int64, len(new))
-            ids = np.fromiter((i for row in new for i in row), np.int32, int(sizes.sum()))
+            ids = np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))
             starts = len(self.flat) + np.cumsum(sizes) - sizes
             self.flat = np.concatenate([self.flat, ids])
             self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
