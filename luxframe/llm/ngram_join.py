@@ -12,8 +12,9 @@ bucket with probability (1 - s^3)^30, which is 7e-8 at 0.75 and less above.  A b
 ``BLOCK`` members and joined block by block, nothing is left out.
 
 Equal sets are one class, represented by its smallest id, before anything else.  The join then runs twice.  First each
-block is only asked for the partners of its smallest member, and verified links are closed to components; a
-group of thousands of near copies becomes one component by as many pairs.  Then the trees give the pairs
+block is only asked for the partners of its hub, the member nearest to the medians of all coordinates (in a group of
+near copies, their common origin), and verified links are closed to components; a group of thousands of near
+copies becomes one component by as many pairs.  Then the trees give the pairs
 across components that are still possible, and those are verified.  Links inside one component change nothing.
 
 Null texts and texts without words have an empty set and link with nothing; with fewer than five words the whole
@@ -36,7 +37,8 @@ from luxframe.llm.textual import map_texts, pick, scratch
 
 WORDS = 5
 PART, WHOLE = 75, 100  # links: PART * union <= WHOLE * intersection
-GROUPS = 64
+GROUPS = 256
+MANY = np.iinfo(np.uint16).max  # a group with so many members or more: no bound
 BANDS, ROWS = 30, 3
 BLOCK = 4096
 LEAF = 16
@@ -81,7 +83,8 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def counts_of(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, MANY).astype(np.uint16)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -130,7 +133,7 @@ class CountTree:
     """Bulk-loaded R-tree over count vectors; a node keeps largest coordinates and least and largest size."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.counts, self.sizes = counts.astype(np.int64), sizes.astype(np.int64)
+        self.counts, self.sizes = np.where(counts == MANY, 2**30, counts).astype(np.int32), sizes.astype(np.int64)
         self.order = self._pack(np.arange(len(sizes)))
         tops, least, most = self.counts[self.order], self.sizes[self.order], self.sizes[self.order]
         self.levels = []
@@ -155,6 +158,11 @@ class CountTree:
             waiting += [part[half:], part[:half]]
         return np.concatenate(done) if done else members
 
+    def hubs(self) -> np.ndarray:
+        """Rows to ask first: the one nearest to the medians of all coordinates."""
+        middle = np.median(self.counts, axis=0)
+        return np.array([np.abs(self.counts - middle).sum(1).argmin()])
+
     def search(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``(query, member)`` pairs of row numbers whose bound reaches the needed overlap."""
         for first in range(0, len(queries), 256):
@@ -197,7 +205,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
     """Candidate pairs ``a < b`` from the trees of all blocks.
 
-    ``across`` false: partners of the smallest member of each block.  True: every pair of different components.
+    ``across`` false: partners of each block's hub.  True: every pair of different components.
     """
     if across:
         mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
@@ -207,24 +215,35 @@ def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
         cells = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     else:
         spread, cells = members, [F.col("block").alias("i"), F.col("block").alias("j")]
-    rows = spread.select("key", *cells, "block", "rep", "component", "n_shingles", "counts")
+    rows = spread.select(F.xxhash64("key", *cells).alias("cell"), (cells[0] != cells[1]).alias("cross"), "block", "rep",
+                         "component", "n_shingles", "counts")
+    # Cells are small as a rule, so a task call takes some thousand rows of many cells.
+    calls = rows.withColumn("call", F.pmod("cell", F.lit(max(1, -(-rows.count() // BLOCK)))))
 
     def run(table: pa.Table) -> pa.Table:
-        rep, block, component, sizes = (table.column(k).to_numpy() for k in ("rep", "block", "component", "n_shingles"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        tree = CountTree(counts, sizes)
-        queries = np.arange(len(rep)) if across else np.array([rep.argmin()])
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by("cell")
+        cell, rep, block, component, sizes = (
+            table.column(k).to_numpy() for k in ("cell", "rep", "block", "component", "n_shingles")
+        )
+        cross = table.column("cross").to_numpy()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
         found = [np.zeros((0, 2), np.int64)]
-        for q, m in tree.search(queries):
-            chosen = (rep[q] < rep[m]) & (component[q] != component[m])
-            if i != j:
-                chosen &= block[q] != block[m]
-            found.append(np.column_stack([rep[q[chosen]], rep[m[chosen]]]))
-        pairs = np.concatenate(found)
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            if end - first < 2 or (across and (component[first:end] == component[first]).all()):
+                continue
+            tree = CountTree(counts[first:end], sizes[first:end])
+            for q, m in tree.search(np.arange(end - first) if across else tree.hubs()):
+                q, m = q + first, m + first
+                chosen = (component[q] != component[m]) & (rep[q] < rep[m] if across else rep[q] != rep[m])
+                if cross[first]:
+                    chosen &= block[q] != block[m]
+                found.append(np.column_stack([rep[q[chosen]], rep[m[chosen]]]))
+        pairs = np.sort(np.concatenate(found), axis=1)
+        pairs = np.unique(pairs, axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return calls.groupBy("call").applyInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
