@@ -63,7 +63,7 @@ class ByteEncoder:
     chunks (white space, then visible characters) are encoded once each and joined back by position.
     """
 
-    def __init__(self, description: str, limit: int = 400_000):
+    def __init__(self, description: str, limit: int = 700_000):
         self.tokenizer = Tokenizer.from_str(description)
         self.table = ChunkTable(self._segment, limit)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
@@ -85,26 +85,47 @@ class ByteEncoder:
         """
         if self.passed > ChunkTable.RENEWAL * self.limit:
             self.stems, self.passed = {}, 0
-        parts = [None if isinstance(c, tuple) else self._parts(c) for c in chunks]
+        parts = list(map(self._parts, chunks))
         tokenize, stems, new = self.tokenizer.model.tokenize, self.stems, {}
-        for stem in {part[0] for part in parts if part} - stems.keys():
-            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLED)
-            new[stem] = [token.id for token in tokenize(SPACE + spelled)]
-        room = self.limit - len(self.stems)
+        used = {stem for part in parts for stem, _ in part}
+        for stem in used - stems.keys():
+            letters = stem[1:] if stem[0] == "\n" else stem
+            spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(SPELLED)
+            new[stem] = [token.id for token in tokenize(spelled if stem[0] == "\n" else SPACE + spelled)]
+        room = self.limit - len(stems)
         self.passed += max(len(new) - room, 0)
-        self.stems.update(islice(new.items(), max(room, 0)))
-        tails = sorted({part[1] for part in parts if part and part[1]})
-        odd = [c[0] if isinstance(c, tuple) else f" {c}" for c, p in zip(chunks, parts, strict=True) if not p]
+        stems.update(islice(new.items(), max(room, 0)))
+        new |= {stem: stems[stem] for stem in used - new.keys()}
+        tails = sorted({tail for part in parts for _, tail in part if tail})
+        odd = [c[0] if isinstance(c, tuple) else f" {c}" for c, part in zip(chunks, parts, strict=True) if not part]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(tails + odd, add_special_tokens=False)]
         behind, rest = dict(zip(tails, found, strict=False)) | {"": []}, iter(found[len(tails) :])
-        new |= {stem: stems[stem] for stem in {part[0] for part in parts if part} - new.keys()}
-        return [new[part[0]] + behind[part[1]] if part else next(rest) for part in parts]
+        out = []
+        for part in parts:
+            if len(part) == 1:
+                out.append(new[part[0][0]] + behind[part[0][1]])
+            else:
+                out.append([i for stem, tail in part for i in new[stem] + behind[tail]] if part else next(rest))
+        return out
 
     @staticmethod
-    def _parts(word: str) -> tuple[str, str] | None:
-        """The letters of a word and the punctuation behind them, if it is made of these alone."""
+    def _parts(chunk: str | tuple) -> list[tuple[str, str]]:
+        """Letters and the punctuation behind them, if a chunk is made of these alone; else nothing.
+
+        Letters without a space in front carry a newline in front instead: the first word of a text, and a
+        word behind a newline, which itself counts as punctuation of the word before.
+        """
+        word, mark = (chunk[0], "\n") if isinstance(chunk, tuple) else (chunk, "")
+        if "\n" in word:
+            lines = word.split("\n")
+            if len(lines) != 2:
+                return []
+            first, second = lines[0].rstrip(TAIL), lines[1].rstrip(TAIL)
+            if not (first.isalpha() and second.isalpha()):
+                return []
+            return [(mark + first, lines[0][len(first) :] + "\n"), ("\n" + second, lines[1][len(second) :])]
         stem = word.rstrip(TAIL)
-        return (stem, word[len(stem) :]) if stem.isalpha() else None
+        return [(mark + stem, word[len(stem) :])] if stem.isalpha() else []
 
     @staticmethod
     def chunks(text: str) -> list:
