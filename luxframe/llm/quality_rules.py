@@ -4,7 +4,8 @@ The statistic vectors of the documents that pass the limits are transformed (``V
 the minimum-covariance-determinant estimate of their language and source.  Concentration steps run for all
 groups at once as aggregations: squared distances from the present centre, their exact rank by a histogram
 (equal bins however the rows are partitioned), then mean and covariance of the nearest ``SHARE``.  Partial sums
-leave the tasks, so a source that holds a third of all documents is a few rows.  A document also counts for
+leave the tasks, and rows meet the estimate of their group in ``SALTS`` parts, so a source that holds a third of
+all documents is spread.  A document also counts for
 its language and for the whole table; groups below ``LEAST`` documents are judged by the next larger one.
 The ridge keeps a statistic that never varies from rejecting its first small change.
 
@@ -30,6 +31,7 @@ REPEAT_SHARE = (100, 50)  # fails above 50 in 100 repeated words
 SHARE = 0.75
 STEPS = 4
 LEAST = 60
+SALTS = 32  # parts of a group where rows meet the estimate of their group
 GRID = 64  # steps of the exact medians, bins per doubling of a distance
 CUT = 5.6  # normal quantile of the rejection level, about one in 10^8
 
@@ -114,9 +116,20 @@ def _start(members: DataFrame) -> DataFrame:
     )
 
 
+def _salt() -> Column:
+    """Part of its group that a row belongs to: even for any group, and written down with the row."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+
+
+def _spread(groups: DataFrame) -> DataFrame:
+    """A copy of each group's row for each part of the group."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _ranked(members: DataFrame, model: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     """Rows with the bin of their distance, and the bin that holds the ``share`` quantile of each group."""
-    binned = members.join(model.drop("n"), "key").withColumn("bin", _bin(distance())).drop("centre", "whitening")
+    met = members.join(_spread(model.drop("n")), ["key", "salt"])
+    binned = met.withColumn("bin", _bin(distance())).drop("centre", "whitening")
     counts = binned.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(W.partitionBy("key").orderBy("bin"))
     whole = F.sum("c").over(W.partitionBy("key"))
@@ -134,17 +147,17 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 def fit(passed: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
     """``key, n, centre, whitening`` of every group of the vectors in ``passed`` (with ``keys``)."""
-    members = scratch(passed.select(F.explode("keys").alias("key"), *NAMES))
+    members = scratch(passed.select(F.explode("keys").alias("key"), "salt", *NAMES))
     sizes = scratch(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     model = scratch(_start(members))
     for _ in range(steps):
         binned, last = _ranked(members, model, share)
-        model = scratch(_solve(_sums(binned.join(last, "key").where(F.col("bin") <= F.col("last")))))
+        model = scratch(_solve(_sums(binned.join(_spread(last), ["key", "salt"]).where(F.col("bin") <= F.col("last")))))
     # The nearest half of a normal sample ends at the chi-square median: that calibrates the covariance,
     # and all documents inside the 97.5 % ellipsoid give the final estimate.
     binned, half = _ranked(members, model, 0.5)
     scale = F.greatest(F.lit(1.0), F.pow(2.0, (F.col("last") + 0.5) / GRID) / chi_square(0.0))
-    inside = binned.join(half, "key").where(F.pow(2.0, F.col("bin") / GRID) <= scale * chi_square(1.96))
+    inside = binned.join(_spread(half), ["key", "salt"]).where(F.pow(2.0, F.col("bin") / GRID) <= scale * chi_square(1.96))
     calibrated = _sums(inside).join(half.select("key", scale.alias("scale")), "key")
     return scratch(_solve(calibrated).drop("n").join(sizes, "key").select("key", "n", "centre", "whitening"))
 
@@ -155,7 +168,7 @@ def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
     per, limit = REPEAT_SHARE
     failed = (F.col("n_words") < MIN_WORDS) | (per * F.col("n_repeat_words") > limit * F.col("n_words"))
     # ``long`` ids may repeat, so verdicts travel with their rows and are never joined by id.
-    counted = scratch(_levels(statistics(docs, keep=keep).withColumn("base_failed", failed)))
+    counted = scratch(_levels(statistics(docs, keep=keep).withColumn("base_failed", failed)).withColumn("salt", _salt()))
     vectors = counted.withColumns(
         {name: F.when(~F.col("base_failed"), F.expr(rule)) for name, rule in VECTOR.items()}
     )
@@ -166,7 +179,7 @@ def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
         part = large.select(
             F.col("key").alias(f"key{i}"), F.col("centre").alias(f"centre{i}"), F.col("whitening").alias(f"whitening{i}")
         )
-        judged = judged.withColumn(f"key{i}", F.col("keys")[i]).join(part, f"key{i}", "left")
+        judged = judged.withColumn(f"key{i}", F.col("keys")[i]).join(_spread(part), [f"key{i}", "salt"], "left")
     chosen = F.coalesce(*[distance(f"centre{i}", f"whitening{i}") for i in range(3)])
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), chosen))
     # A table too small for any estimate keeps what passed the limits.
