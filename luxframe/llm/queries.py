@@ -113,7 +113,7 @@ def op6_ngram_join(spark, folder):
 @query
 def op7_token_lengths(spark, folder):
     lengths = token_lengths.encoded_lengths(table(spark, folder, "documents"), PIECES)
-    return token_lengths.with_suffix_sums(token_lengths.histogram(lengths))
+    return token_lengths.with_suffix_sums(scratch(token_lengths.histogram(lengths)))
 
 
 @query
