@@ -156,6 +156,43 @@ def test_paraphrases_are_found_and_clean_texts_left_alone(prepared, documents):
     assert all(d in planted for d, _ in got)
 
 
+def brute_leaks(docs, items):
+    """All documents and items with a passage around which the checks confirm the item."""
+    found, width, step = set(), decontaminate.WINDOW, decontaminate.STRIDE
+    for d, words in docs.items():
+        for i, item in items.items():
+            for a in range(0, max(len(words) - width, 0) + step, step):
+                around = words[max(a - len(item), 0) : min(a + width, len(words)) + len(item)]
+                if decontaminate.confirmed(item, around) is not None:
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_no_leak_that_the_checks_confirm_is_left_unasked(prepared, documents):
+    """Long and short items, 65% of the words kept, replacements from running text."""
+    chance = random.Random(9)
+    vocabulary, common = [f"w{i}" for i in range(2000)], [f"c{i}" for i in range(25)]
+    draw = lambda n: [chance.choice(common if chance.random() < 0.45 else vocabulary) for _ in range(n)]
+    items = {i: draw(chance.choice([6, 15, 30, 60, 150])) for i in range(40)}
+    docs, planted = {}, set()
+    for d in range(120):
+        words, i = draw(chance.choice([20, 90, 300])), chance.randrange(40)
+        if d % 3:
+            item = items[i]
+            kept = set(chance.sample(range(len(item)), round(0.65 * len(item))))
+            kept |= set(range(len(item) - max(len(item) // 4, 1), len(item)))
+            at = chance.randint(0, len(words))
+            words[at:at] = [w if k in kept else draw(1)[0] for k, w in enumerate(item)]
+            planted.add((d, i))
+        docs[d] = words
+    bench = prepared.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = decontaminate.find_leaks(documents([(d, " ".join(w)) for d, w in docs.items()]), bench).collect()
+    want = brute_leaks(docs, items)
+    assert len(planted & want) > 70 and {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert min(r["cosine"] for r in found) < 0.4 < max(r["cosine"] for r in found) <= 1.001
+
+
 def test_leaks_of_odd_rows(odd, empty, prepared):
     schema = "item_id long, text string, text_ string"
     rows = [(1, "one two three four five six", "x"), (2, None, "x"), (3, "", "x"), (4, "word", "x"), (5, "One, two three four FIVE six", "x")]
