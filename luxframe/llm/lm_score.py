@@ -3,8 +3,9 @@
 Documents are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash.  Every block explodes its texts into
 n-grams, adds up equal ones and sends the distinct 64-bit hashes with their counts to the count tables, which are
 partitioned by hash range.  A count table adds up the blocks' counts and answers each block in the order it was
-asked, so an answer is one number per n-gram.  The block joins the totals to its n-grams and sums the scores per
-document.  An n-gram that stands in every document is one row per block: no key is hot.
+asked with what the other blocks hold.  Sorted hashes travel as differences and numbers as bytes, compressed, so an
+n-gram that only one block holds is an answer of next to nothing.  The block adds the answers to its own counts and
+sums the scores per document.  An n-gram that stands in every document is one row per block: no key is hot.
 
 A document is no evidence for itself: its own counts are taken off before its words are scored.  A word scores
 ``c(n-gram) / c(context)`` for the longest n-gram that others hold, times ``BACKOFF`` for each word of context given up;
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from luxframe.llm.textual import pick
 from luxframe.session import shuffle_width
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 BLOCK_CHARS = 8_000_000
-TABLE_CHARS = 64_000_000
+TABLE_CHARS = 32_000_000
 TOKENS = np.uint64(0)  # stands for the number of all tokens in the count tables
 SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backoffs long"
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +89,38 @@ def _texts(table: pa.Table) -> list[str]:
     return [text or "" for text in table.column("text").to_pylist()]
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as one byte each, compressed; 255 stands for the next of the larger ones that follow."""
+    larger = values[values >= 255].astype(np.uint64)
+    plain = np.minimum(values, 255).astype(np.uint8).tobytes() + larger.tobytes()
+    return np.array([len(values), len(larger)], np.uint32).tobytes() + pa.compress(plain, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, larger = np.frombuffer(data, np.uint32, 2).tolist()
+    plain = pa.decompress(data[8:], n + 8 * larger, "zstd", asbytes=True)
+    values = np.frombuffer(plain, np.uint8, n).astype(np.uint64)
+    values[values == 255] = np.frombuffer(plain, np.uint64, larger, n)
+    return values
+
+
+def differences(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted distinct hashes as their differences: the leading part packed, and the low bytes as they are."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    mean = int(hashes[-1] - hashes[0]) // max(len(hashes) - 1, 1)
+    low = max(mean.bit_length() - 2, 0) // 8
+    return packed(steps >> np.uint64(8 * low)), steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+
+
+def summed(leading: bytes, rest: bytes) -> np.ndarray:
+    """The hashes of their ``differences``."""
+    steps = unpacked(leading)
+    low = len(rest) // len(steps)
+    held = np.zeros((len(steps), 8), np.uint8)
+    held[:, :low] = np.frombuffer(rest, np.uint8).reshape(-1, low) if low else 0
+    return np.cumsum((steps << np.uint64(8 * low)) | held.view("<u8")[:, 0], dtype=np.uint64)
+
+
 def _requests(order: int, tables: int):
     """Distinct n-grams of a block, cut by hash range."""
 
@@ -96,12 +129,14 @@ def _requests(order: int, tables: int):
         borders = np.array([(t << 64) // tables for t in range(1, tables)], np.uint64)
         cuts = [0, *np.searchsorted(hashes, borders).tolist(), len(hashes)]
         parts = [(t, a, b) for t, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        coded = [differences(hashes[a:b]) for _, a, b in parts]
         return pa.table(
             {
                 "part": pa.array([t for t, _, _ in parts], pa.int64()),
                 "block": pa.array([block.column("block")[0].as_py()] * len(parts), pa.int64()),
-                "hashes": pa.array([hashes[a:b].tobytes() for _, a, b in parts], pa.binary()),
-                "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in parts], pa.binary()),
+                "leading": pa.array([leading for leading, _ in coded], pa.binary()),
+                "rest": pa.array([rest for _, rest in coded], pa.binary()),
+                "counts": pa.array([packed(counts[a:b]) for _, a, b in parts], pa.binary()),
             }
         )
 
@@ -109,22 +144,23 @@ def _requests(order: int, tables: int):
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """One count table: totals over all blocks, back in the order of each block's request."""
-    lists = [np.frombuffer(x, np.uint64) for x in asked.column("hashes").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("counts").to_pylist()])
+    """One count table: what all other blocks hold, back in the order of each block's request."""
+    coded = zip(asked.column("leading").to_pylist(), asked.column("rest").to_pylist(), strict=True)
+    lists = [summed(leading, rest) for leading, rest in coded]
+    counts = np.concatenate([unpacked(x) for x in asked.column("counts").to_pylist()])
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
     distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(place, counts, len(distinct)).astype(np.uint64)
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    answers = [part.tobytes() for part in np.split(totals[place], cuts)]
-    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "totals": pa.array(answers, pa.binary())})
+    answers = [packed(part) for part in np.split(totals[place] - counts, cuts)]
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "others": pa.array(answers, pa.binary())})
 
 
 def _scores(order: int, backoff: float):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Ngrams(_texts(block), order)
-        _, _, index = grams.distinct()
-        ordered = answers.sort_by("part").column("totals").to_pylist()
-        totals = np.concatenate([np.frombuffer(x, np.uint64) for x in ordered]).astype(np.float64)
+        _, counts, index = grams.distinct()
+        ordered = answers.sort_by("part").column("others").to_pylist()
+        totals = np.concatenate([unpacked(x) for x in ordered]).astype(np.float64) + counts
         docs, n = len(grams.sizes), len(grams.owner)
         others = []
         for row in index:
@@ -167,7 +203,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_c
         max(shuffle_width(docs.sparkSession), min(blocks, 100_000)), "block"
     )
     requests = dealt.groupBy("block").applyInArrow(
-        _requests(order, tables), "part long, block long, hashes binary, counts binary"
+        _requests(order, tables), "part long, block long, leading binary, rest binary, counts binary"
     )
-    answers = requests.groupBy("part").applyInArrow(_answer, "block long, part long, totals binary")
+    answers = requests.groupBy("part").applyInArrow(_answer, "block long, part long, others binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(order, backoff), SCORES)

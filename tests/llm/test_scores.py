@@ -57,6 +57,25 @@ def test_backoff_scores(prepared, order):
         assert got["log_score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
 
 
+def test_registered_scores_use_trigrams(prepared):
+    rows = prepared.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect()
+    found = {r["doc_id"]: r for r in queries.QUERIES["op3_lm_score"](prepared, FOLDER).collect()}
+    for row, (n, score, given_up) in zip(rows, brute_scores([r["text"] for r in rows], 3, lm_score.BACKOFF), strict=True):
+        got = found[row["doc_id"]]
+        assert (got["n_tokens"], got["n_backoffs"]) == (n, given_up)
+        assert got["log_score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("top", [1, 200, 1 << 30, 1 << 64])
+def test_sorted_hashes_and_numbers_travel_unchanged(top):
+    chance = np.random.default_rng(4)
+    for n in (1, 2, 50, 5000):
+        hashes = np.unique(chance.integers(0, top, n, np.uint64, endpoint=False))
+        assert np.array_equal(lm_score.summed(*lm_score.differences(hashes)), hashes)
+        numbers = np.concatenate([hashes >> np.uint64(40), [0, 254, 255, 256]]).astype(np.uint64)
+        assert np.array_equal(lm_score.unpacked(lm_score.packed(numbers)), numbers)
+
+
 def test_backoff_scores_of_odd_rows(odd, empty):
     found = lm_score.score(odd).collect()
     assert len(found) == odd.count()
