@@ -16,9 +16,12 @@ from luxframe.llm import (
     lm_score,
     ngram_join,
     quality_rules,
+    rank_queue_bpe,
     rule_classifier,
     sentencepiece_codec,
+    token_alignment,
     token_lengths,
+    vector_codes,
 )
 from luxframe.llm.textual import prepare, scratch
 
@@ -27,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 EXTRA_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -131,6 +135,58 @@ def op10_decontaminate(spark, folder):
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op11_rank_queue_bpe(spark, folder):
+    return rank_queue_bpe.digests(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op12_token_alignment(spark, folder):
+    return token_alignment.digests(table(spark, folder, "documents"), BYTES, PIECES)
+
+
+@query
+def op13_vector_codes(spark, folder):
+    return vector_codes.digests(table(spark, folder, "embeddings"))
+
+
+def _lloyd_sql() -> str:
+    """Every distance of every round, without the short way of the operator."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [
+        f"""odd AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, UNNEST(embedding) AS x FROM embeddings) WHERE x IS NULL OR NOT isfinite(x)),
+vec AS (SELECT vec_id, label, len(embedding) // {parts} AS wide, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id NOT IN (SELECT vec_id FROM odd)),
+cmp AS (SELECT vec_id, (i - 1) // wide AS place, (i - 1) % wide AS j, CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT vec_id, wide, UNNEST(embedding) AS x, UNNEST(range(1, len(embedding) + 1)) AS i FROM vec)),
+first_ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM vec QUALIFY entry < {entries}),
+book0 AS (SELECT place, entry, j, v AS c FROM cmp JOIN first_ids USING (vec_id))"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(
+            f"""dist{k} AS (SELECT vec_id, place, entry, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d
+  FROM cmp JOIN book{k} USING (place, j) GROUP BY ALL),
+near{k} AS (SELECT vec_id, place, entry, d FROM dist{k}
+  QUALIFY row_number() OVER (PARTITION BY vec_id, place ORDER BY d, entry) = 1)"""
+        )
+        if k < vector_codes.ROUNDS:
+            steps.append(
+                f"""mean{k} AS (SELECT place, entry, j, sum(v)::BIGINT AS total, count(*) AS n
+  FROM cmp JOIN near{k} USING (vec_id, place) GROUP BY ALL),
+book{k + 1} AS (SELECT b.place, b.entry, b.j,
+  coalesce((total - ((total % n) + n) % n) // n, c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.place = b.place AND m.entry = b.entry AND m.j = b.j)"""
+            )
+    last = vector_codes.ROUNDS
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY place) AS code, sum(d)::BIGINT AS error FROM near{last} GROUP BY ALL),
+labelled AS (SELECT vec.vec_id, label, code, error FROM coded JOIN vec USING (vec_id))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY place, entry, j)) FROM book{last}) AS codebooks_sha256 FROM labelled"""
+
+
+ORACLES["op13_vector_codes"] = _lloyd_sql()
+
+
 @query
 def pipeline(spark, folder):
     import corpus_pipeline

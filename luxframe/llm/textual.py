@@ -57,16 +57,23 @@ def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[slice]:
 
 
 def map_texts(
-    docs: DataFrame, work: Callable[[list[str]], list[pa.Array]], schema: str, keep: dict[str, str] | None = None
+    docs: DataFrame,
+    work: Callable[[list[str]], list[pa.Array]],
+    schema: str,
+    keep: dict[str, str] | None = None,
+    chars: int = SLICE_CHARS,
 ) -> DataFrame:
-    """One Arrow pass: ``work`` turns a list of texts (null: empty) into the arrays of the columns after ``keep``."""
+    """One Arrow pass: ``work`` turns a list of texts (null: empty) into the arrays of the columns after ``keep``.
+
+    A list holds about ``chars`` characters, or one longer text.
+    """
     keep = {"doc_id": "long"} if keep is None else keep
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column("text").to_pylist()]
-            for part in slices(texts):
+            for part in slices(texts, chars):
                 held = [batch.column(k).slice(part.start, part.stop - part.start) for k in keep]
                 yield pa.RecordBatch.from_arrays([*held, *work(texts[part])], names=[*keep, *names])
 
@@ -83,7 +90,7 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class ChunkTable(dict):
     """Distinct chunks of text, each segmented once, with the ids of all of them end to end.
 
-    ``segment`` turns a list of new chunks into a list of id lists.  The first ``limit`` chunks are
+    ``segment`` turns a list of new chunks into a list of id lists, or into all ids end to end and their numbers.  The first ``limit`` chunks are
     remembered, which are nearly all of the frequent ones; later ones are forgotten after their batch, and
     after ``RENEWAL`` times ``limit`` of those the table starts again, in case the texts have changed.
     """
@@ -128,8 +135,11 @@ class ChunkTable(dict):
         found = [np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)) for chunks in documents]
         if self.fresh:
             new = self.segment(self.fresh)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            ids = np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))
+            if isinstance(new, tuple):
+                ids, sizes = new
+            else:
+                sizes = np.fromiter(map(len, new), np.int64, len(new))
+                ids = np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))
             starts = len(self.flat) + np.cumsum(sizes) - sizes
             self.flat = np.concatenate([self.flat, ids])
             self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
@@ -140,5 +150,12 @@ class ChunkTable(dict):
         """Ids of each document, joined back by position."""
         return [self.flat[ragged(self.starts[c], self.sizes[c])] for c in self.codes(documents)]
 
+    def flat_ids(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents end to end, and the number of each."""
+        codes = self.codes(documents)
+        numbers = np.array([int(self.sizes[c].sum()) for c in codes], np.int64)
+        joined = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        return self.flat[ragged(self.starts[joined], self.sizes[joined])], numbers
+
     def lengths(self, documents: list[list]) -> np.ndarray:
         return np.array([int(self.sizes[c].sum()) for c in self.codes(documents)], np.int64)
