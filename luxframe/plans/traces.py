@@ -185,7 +185,7 @@ WINDOWED = f"SELECT DISTINCT particle, CAST(-{G2_WINDOW_PS} AS DOUBLE) AS lo, CA
 
 @query("g2_histogram", f"WITH {_hist_sql(100, OBSERVED)} SELECT * FROM gg")
 def g2_histogram(spark, folder):
-    return correlation.g2_histogram(delays(spark, folder), 100).withColumn("left_ns", F.round("left_ns", 1))
+    return correlation.g2_observed(demo.photons(spark, folder), G2_WINDOW_PS, 100).withColumn("left_ns", F.round("left_ns", 1))
 
 
 @query("g2_fixed_window", f"WITH {_hist_sql(60, WINDOWED)} SELECT * FROM gg")
