@@ -31,12 +31,14 @@ def define_levels(cpts: DataFrame, totals: DataFrame, overlapping: bool = False)
 def photons_in_levels(photons: DataFrame, levels: DataFrame) -> DataFrame:
     """Every photon with the level that contains it."""
     bounds = levels.select("particle", "level_ind", "first_ind", "last_ind")
-    return rows_in_intervals(photons, bounds, ["particle"], "photon_ind", "first_ind", "last_ind")
+    stored = "block" if "block" in photons.columns else None  # rows of a photon store
+    return rows_in_intervals(photons, bounds, ["particle"], "photon_ind", "first_ind", "last_ind", stored=stored)
 
 
 def level_stats(photons: DataFrame, levels: DataFrame) -> DataFrame:
     """Start, end, photon number, dwell time and intensity of each level."""
-    inside = photons_in_levels(photons.select("particle", "photon_ind", "abs_ns"), levels)
+    kept = [c for c in ("particle", "photon_ind", "abs_ns", "block") if c in photons.columns]
+    inside = photons_in_levels(photons.select(*kept), levels)
     times = inside.groupBy("particle", "level_ind").agg(
         F.min("first_ind").alias("first_ind"),
         F.min("last_ind").alias("last_ind"),

@@ -190,13 +190,24 @@ def dense_spine(bounds: DataFrame, keys: list[str], count: str, out: str, step:
 
 
 def rows_in_intervals(
-    rows: DataFrame, intervals: DataFrame, keys: list[str], pos: str, first: str, last: str, block: int = 65_536
+    rows: DataFrame,
+    intervals: DataFrame,
+    keys: list[str],
+    pos: str,
+    first: str,
+    last: str,
+    block: int = 65_536,
+    stored: str | None = None,
 ) -> DataFrame:
     """Join every row to the inclusive position intervals that contain it.
 
     Intervals are repeated once per block they touch, so the join is an equi-join on key and block
-    and a key of any size spreads over as many tasks as it has blocks.
+    and a key of any size spreads over as many tasks as it has blocks.  Rows that are stored by key and block name the
+    column that holds the block (``stored``); they stay where they are.
     """
+    if stored:
+        spread = intervals.withColumn(stored, F.explode(F.sequence(_block(first, block), _block(last, block))))
+        return rows.join(spread, [*keys, stored]).where(F.col(pos).between(F.col(first), F.col(last))).drop(stored)
     spread = intervals.withColumn(
         "__block", F.explode(F.sequence(_block(first, block), _block(last, block)))
     )

@@ -194,8 +194,9 @@ def sink_corr_csv(spark, folder):
 
 @query(
     "sink_raster_2d",
-    """SELECT * FROM (PIVOT (SELECT p_size AS y, p_brand, p_retailprice FROM part)
-ON p_brand USING round(sum(p_retailprice), 2) GROUP BY y)""",
+    "SELECT p_size AS y, "
+    + ", ".join(f"round(sum(p_retailprice) FILTER (p_brand = 'Brand#{k}'), 2) AS \"Brand#{k}\"" for k in range(1, 26))
+    + " FROM part GROUP BY ALL",
 )
 def sink_raster_2d(spark, folder):
     """A grid of part sizes by brand as rows and columns of an image."""

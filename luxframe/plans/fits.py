@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from luxframe.functions import sql_functions
 from luxframe.functions.decay import FitModel, Parameter
 from luxframe.operators import binning, decay_fit, decay_range, exporting
 from luxframe.plans.catalog import query
@@ -229,14 +230,15 @@ SELECT o_orderkey AS decay, {", ".join(_dw_sql(decay_fit.DW_TERMS[level][k - 1],
  {_normal_sql(3.0, "dw_03")}, {_normal_sql(3.28, "dw_01")} FROM p""",
 )
 def dw_bounds(spark, folder):
+    """The bounds through the functions that SQL text sees."""
+    sql_functions.register(spark)
     points = (50 + F.pmod("o_orderkey", F.lit(2000))).cast("double")
     decays = table(spark, folder, "orders").select(F.col("o_orderkey").alias("decay"), points.alias("n"))
-    n = F.col("n")
     return decays.select(
         "decay",
-        *[decay_fit.dw_bound(n, k, level).alias(f"dw_{level}_{k}exp") for level in (5, 1) for k in (1, 2, 3)],
-        decay_fit.dw_normal_bound(n, 3.0).alias("dw_03"),
-        decay_fit.dw_normal_bound(n, 3.28).alias("dw_01"),
+        *[F.expr(f"dw_bound(n, {k}, {level})").alias(f"dw_{level}_{k}exp") for level in (5, 1) for k in (1, 2, 3)],
+        F.expr("dw_normal_bound(n, 3.0D)").alias("dw_03"),
+        F.expr("dw_normal_bound(n, 3.28D)").alias("dw_01"),
     )
 
 

@@ -16,7 +16,7 @@ BURSTS = BurstSettings(min_dwell_s=0.02, sigma=1.0)
 
 def level_bounds(spark, folder):
     """Photons with positions, and the levels between the true change points."""
-    photons = demo.indexed_photons(spark, folder)
+    photons = demo.stored_photons(spark, folder)
     return photons, ops.define_levels(demo.true_change_points(photons), ops.photon_totals(photons))
 
 

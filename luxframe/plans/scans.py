@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from luxframe.operators import binning, selection
-from luxframe.operators.ordered import dense_spine, index_rows, rows_in_intervals
+from luxframe.operators.ordered import dense_spine, index_rows, rows_in_intervals, whole
 from luxframe.plans.catalog import query
 from luxframe.session import checkpoint_folder
 from luxframe.sources import demo, formats, saved, timetags
@@ -46,18 +46,26 @@ def scan_photon_slice(spark, folder):
     "scan_pt3",
     """WITH ev AS (SELECT event_id, event_type AS file, CAST(user_id % 2 + 1 AS INTEGER) AS channel,
   date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 10000000 AS pulse,
-  CAST(round(value * 10) AS BIGINT) % 4096 AS dtime FROM events)
-SELECT file, channel, round(pulse * 1e9 / 100000 + dtime * 0.5e0, 3) AS macro_ns, dtime * 0.5e0 AS micro_ns FROM ev""",
+  CAST(round(value * 10) AS BIGINT) AS tenths FROM events),
+un AS (SELECT greatest(1, (max(tenths) + 4094) // 4095) AS step FROM ev)
+SELECT file, channel, round(pulse * 1e9 / 100000 + (tenths // step) * (0.5e0 * step), 3) AS macro_ns,
+  (tenths // step) * (0.5e0 * step) AS micro_ns FROM ev, un""",
 )
 def scan_pt3(spark, folder):
-    """Events packed into T3 words with wrap-around records in between, and decoded again."""
+    """Events packed into T3 words with wrap-around records in between, and decoded again.
+
+    The timing unit is so wide that the largest micro time fits the 12 bits of a record.
+    """
+    tenths = F.round(F.col("value") * 10).cast("bigint")
+    largest = table(spark, folder, "events").agg(F.max(tenths)).first()[0] or 0
+    step = max(1, -(-largest // 4095))
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
     shots = table(spark, folder, "events").select(
         F.col("event_type").alias("file"),
         "event_id",
         F.pmod("user_id", F.lit(2)).cast("bigint").alias("odd"),
         F.floor(us / 10_000_000).alias("pulse"),
-        F.pmod(F.round(F.col("value") * 10).cast("bigint"), F.lit(4096)).alias("dtime"),
+        whole(tenths, step).alias("dtime"),
     )
     word = F.shiftleft(F.col("odd") + 1, 28) + F.shiftleft("dtime", 16) + F.pmod("pulse", F.lit(65_536))
     photons = shots.select("file", "pulse", F.lit(1).alias("kind"), "event_id", word.alias("word"))
@@ -72,7 +80,7 @@ def scan_pt3(spark, folder):
         F.lit(15 << 28).cast("bigint").alias("word"),
     )
     stream = index_rows(photons.unionByName(markers), ["file"], ["pulse", "kind", "event_id"], "record")
-    records = stream.withColumn("resolution_ns", F.lit(0.5)).withColumn("sync_rate", F.lit(100_000).cast("bigint"))
+    records = stream.withColumn("resolution_ns", F.lit(0.5 * step)).withColumn("sync_rate", F.lit(100_000).cast("bigint"))
     decoded = timetags.decode_t3(records)
     return decoded.select("file", "channel", F.round("macro_ns", 3).alias("macro_ns"), "micro_ns")
 
@@ -287,3 +295,25 @@ def scan_saved_analysis(spark, folder):
     path = scratch(spark, "saved")
     saved.save_analysis({"levels": levels}, path, "1.05")
     return saved.load_analysis(spark, path, ["levels"])["levels"]
+
+
+@query(
+    "scan_files",
+    """SELECT event_type AS folder, 'shots_' || event_type || '.csv' AS kind, count(*) AS num_files, true AS has_content
+FROM (SELECT DISTINCT event_type, CAST(user_id % 2 AS INTEGER) AS half FROM events) GROUP BY ALL""",
+)
+def scan_files(spark, folder):
+    """A tree of measurement folders, listed without opening a file."""
+    path = scratch(spark, "tree")
+    shots = table(spark, folder, "events").select(
+        F.col("event_type").alias("folder"), F.pmod("user_id", F.lit(2)).cast("int").alias("half"), "event_id", "value"
+    )
+    halves = shots.repartition("folder", "half")
+    halves.write.partitionBy("folder", "half").csv(path)
+    shots.limit(1).write.json(f"{path}/notes")
+    listed = formats.listed_files(spark, path, "*.csv")
+    return listed.select(F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder"), "length").groupBy("folder").agg(
+        F.concat(F.lit("shots_"), F.first("folder"), F.lit(".csv")).alias("kind"),
+        F.count(F.lit(1)).alias("num_files"),
+        (F.min("length") > 0).alias("has_content"),
+    )

@@ -308,3 +308,35 @@ def cpa_find_all(spark, folder):
 )
 def cpa_end_time(spark, folder):
     return until(demo.indexed_photons(spark, folder), 1_000_000.0).select("particle", "photon_ind", "abs_ns")
+
+
+GAP_US = 600_000_000
+LEAST, LONGEST_US = 3, 3_600_000_000
+
+
+@query(
+    "stream_bursts",
+    f"""WITH {PHOTONS_SQL}, gp AS (SELECT *, CASE WHEN abs_ns - lag(abs_ns) OVER w < {GAP_US * 1000} THEN 0 ELSE 1 END AS opens
+  FROM ph WINDOW w AS (PARTITION BY particle ORDER BY photon_ind)),
+ru AS (SELECT *, sum(opens) OVER (PARTITION BY particle ORDER BY photon_ind) AS run FROM gp)
+SELECT particle, min(abs_ns) AS start_ns, max(abs_ns) AS end_ns, count(*) AS num_photons FROM ru GROUP BY particle, run
+HAVING count(*) >= {LEAST} AND max(abs_ns) - min(abs_ns) < {LONGEST_US * 1000}""",
+)
+def stream_bursts(spark, folder):
+    """Photon files as a stream; a closing marker behind the last photon lets the watermark finish the last runs."""
+    from luxframe.plans.scans import scratch
+    from luxframe.streaming import bursts
+    from luxframe.streaming.live import photon_stream
+
+    path, target, state = (scratch(spark, name) for name in ("photons", "bursts", "state"))
+    columns = ["particle", "channel", "abs_ns", "micro_ns"]
+    photons = demo.photons(spark, folder).select(*columns)
+    photons.write.parquet(path)
+    written = len(spark.read.parquet(path).inputFiles())
+    far = (F.max("abs_ns") + 1_000_000_000 * 86_400).alias("abs_ns")
+    marker = photons.agg(far).select(
+        F.lit(None).cast("string").alias("particle"), F.lit(0).alias("channel"), "abs_ns", F.lit(0.0).alias("micro_ns")
+    )
+    marker.where("abs_ns IS NOT NULL").write.mode("append").parquet(path)
+    runs = bursts.photon_runs(photon_stream(spark, path, max(written, 1)), GAP_US)
+    return bursts.bursts(bursts.replayed(spark, runs, target, state), LEAST, LONGEST_US * 1000)

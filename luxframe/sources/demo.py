@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from luxframe.operators.ordered import index_rows, running_total, whole
 from luxframe.session import settle
+from luxframe.sources import photon_store
 
 PERIOD_US = 2 * 86_400_000_000
 
@@ -44,9 +45,14 @@ def photons(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_photons(spark: SparkSession, folder: str) -> DataFrame:
+    """``photons`` with ``photon_ind`` and ``block`` from the photon store of this folder."""
+    return photon_store.opened(photons(spark, folder), table(spark, folder, "events"))
+
+
 def indexed_photons(spark: SparkSession, folder: str) -> DataFrame:
     """``photons`` with their dense position ``photon_ind`` in arrival order."""
-    return index_rows(photons(spark, folder), ["particle"], ["abs_ns", "photon_id"], "photon_ind")
+    return stored_photons(spark, folder).drop("block")
 
 
 def true_change_points(indexed: DataFrame) -> DataFrame:

@@ -152,3 +152,9 @@ def read_hdf5(spark: SparkSession, paths: list[str], slice_photons: int = 2_000_
 
 # File versions without a second channel.
 SINGLE_CHANNEL_VERSIONS = ("1.0", "1.01", "1.02", "1.03", "1.04", "1.05", "1.06")
+
+
+def listed_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path, length, modificationTime`` of the files below ``folder`` whose names match; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", "modificationTime")
