@@ -3,8 +3,9 @@
 Both tokenizers spell the same bytes (space and text).  Where a token of A and a token of B end at the same byte, the two
 are linked, and these places cut the text into groups.
 
-Neither tokenizer joins bytes over a single space between visible characters, so texts are cut there and every distinct
-cut is aligned once a task; a document is a sequence of cuts.  A model or a tokenizer that may join over spaces is applied
+Neither tokenizer joins bytes over a single space between visible characters, nor (if no piece of B does) over the border
+between letters and the punctuation or newline behind them.  Texts are cut at the spaces, cuts are split into such parts,
+and every distinct part and cut is aligned once a task; a document is a sequence of cuts.  A model or a tokenizer that may join over spaces is applied
 to whole texts.
 
 The first pass counts links: each task adds up its own and writes one row per distinct pair.  Of a linked pair the
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ SLICE = 16_384  # counts that travel as one row
 TOGETHER = 2_000_000
 PLACES = re.compile(r"(?<! ) (?=\S)")
 ODD = re.compile(r" \s| $")
+TAIL = ".,;:!?%*#$&|"  # neither letters, digits nor white space: behind a word they are one pre-token of A
 PAIR_COUNTS = "part int, pair long, n long"
 _TABLES: dict[str, Alignments] = {}
 
@@ -52,6 +55,12 @@ def _byte_spelling() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _joins_parts(piece: str) -> bool:
+    """True if a piece reaches over a border between letters, punctuation and newlines."""
+    kinds = ["a" if c.isalpha() else "." if c in TAIL else c if c == "\n" else "" for c in piece]
+    return any(x and y and x != y for x, y in zip(kinds, kinds[1:], strict=False))
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct whole numbers: levels of bits, and the rank of a bit as index.
 
@@ -117,9 +126,10 @@ class Pair:
             bytes(spelling[c] for c in token) if token and all(c in spelling for c in token) else (token or "").encode()
             for token in map(self.a.id_to_token, range(self.a.get_vocab_size()))
         ]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.splits_words = self.separable and not any(map(_joins_parts, pieces))
         self.b_tokens = []
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
+        for i, piece in enumerate(pieces):
             self.b_tokens.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
 
     def most_pairs(self) -> int:
@@ -140,23 +150,8 @@ class Pair:
         return text.split(" ")
 
 
-class Alignments(ChunkTable):
-    """Distinct cuts with their links, token numbers and groups, and with their counts once these are known."""
-
-    def __init__(self, description: str, model: bytes, counts: Counts | None, limit: int = 300_000):
-        self.pair = Pair(description, model)
-        self.counts = counts
-        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(t), np.uint8) for t in (self.pair.a_tokens, self.pair.b_tokens))
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.pair.a_tokens, self.pair.b_tokens))
-        self.a_names, self.b_names = list(map(str, range(len(self.a_sizes)))), list(map(str, range(len(self.b_sizes))))
-        super().__init__(self._align, limit)
-
-    @classmethod
-    def of(cls, key: str, description: str, model: bytes, counts: Counts | None = None) -> Alignments:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = cls(description, model, counts)
-        return _TABLES[key]
+class Linked(ChunkTable):
+    """Distinct strings with their links, token numbers and groups, and with their counts once these are known."""
 
     def _forget(self) -> None:
         super()._forget()
@@ -170,55 +165,130 @@ class Alignments(ChunkTable):
         del self.groups[len(self.starts) :]
         self.facts = self.facts[: len(self.starts)]
 
+
+class Parts(Linked):
+    """Pieces of text at whose ends both tokenizers end a token, each aligned once.
+
+    A string is letters, a run of punctuation or a newline, perhaps behind one space, and goes to A's model as one
+    pre-token; a tuple holds any other cut.
+    """
+
+    def __init__(self, pair: Pair, counts: Counts | None, limit: int):
+        self.pair, self.counts = pair, counts
+        spelled = {byte: char for char, byte in _byte_spelling().items()}
+        self.spelled = "".join(spelled[b] for b in range(256))
+        self.line_ids = len(pair.b.encode("\n"))
+        tokens = (pair.a_tokens, pair.b_tokens)
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(t), np.uint8) for t in tokens)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in tokens)
+        self.a_names, self.b_names = (list(map(str, range(len(t)))) for t in tokens)
+        super().__init__(self._align, limit)
+
+    def _encoded(self, parts: list) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B.  B puts a space in front itself; behind a newline it has to be taken off with the newline."""
+        tokenize, spelled = self.pair.a.model.tokenize, self.spelled
+        a: list = [None if isinstance(p, tuple) else [t.id for t in tokenize(p.encode().decode("latin-1").translate(spelled))] for p in parts]
+        odd = [p[0] for p in parts if isinstance(p, tuple)]
+        found = iter(self.pair.a.encode_batch_fast(odd, add_special_tokens=False))
+        a = [next(found).ids if ids is None else ids for ids in a]
+        texts = [p[0] if isinstance(p, tuple) else p for p in parts]
+        b = self.pair.b.encode([t[1:] if t[0] == " " else f"\n{t}" for t in texts], num_threads=1)
+        return a, [ids if t[0] == " " else ids[self.line_ids :] for ids, t in zip(b, texts, strict=True)]
+
     @staticmethod
-    def _spelled(ids, numbers, sizes, data) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the tokens end to end, and how many bytes each cut has."""
+    def _bytes(ids, numbers, sizes, data) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the tokens end to end, and how many bytes each part has."""
         starts = np.cumsum(sizes) - sizes
         ends = np.concatenate([[0], np.cumsum(sizes[ids])])
         upto = np.cumsum(numbers)
         return data[ragged(starts[ids], sizes[ids])], ends[upto] - ends[upto - numbers]
 
-    def _align(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
-        texts = [f" {c}" if isinstance(c, str) else c[0] for c in chunks]
-        found = [[e.ids for e in self.pair.a.encode_batch_fast(texts, add_special_tokens=False)]]
-        found.append(self.pair.b.encode([t[1:] for t in texts], num_threads=1))
+    def _align(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        found = self._encoded(parts)
         numbers = [np.fromiter(map(len, rows), np.int64, len(rows)) for rows in found]
-        a, b = (np.array([i for ids in rows for i in ids], np.int64) for rows in found)
-        raw = [t.encode() for t in texts]
+        a, b = (np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum())) for rows, n in zip(found, numbers, strict=True))
+        raw = [(p[0] if isinstance(p, tuple) else p).encode() for p in parts]
         want, spans = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
-        wrong = np.zeros(len(texts), bool)
+        wrong = np.zeros(len(parts), bool)
         for ids, n, sizes, data in ((a, numbers[0], self.a_sizes, self.a_bytes), (b, numbers[1], self.b_sizes, self.b_bytes)):
-            got, lengths = self._spelled(ids, n, sizes, data)
+            got, lengths = self._bytes(ids, n, sizes, data)
             wrong |= lengths != spans
             if wrong.any() or not np.array_equal(got, want):
                 ends = np.cumsum(lengths)
                 wrong |= [got[e - k : e].tobytes() != t for e, k, t in zip(ends.tolist(), lengths.tolist(), raw, strict=True)]
-        owners = [np.repeat(np.arange(len(texts)), n) for n in numbers]
+        owners = [np.repeat(np.arange(len(parts)), n) for n in numbers]
         a, owner = a[~wrong[owners[0]]], owners[0][~wrong[owners[0]]]
         b = b[~wrong[owners[1]]]
         _, at_a, at_b = np.intersect1d(
             np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), assume_unique=True, return_indices=True
         )
         links = a[at_a] * len(self.b_sizes) + b[at_b]
-        sizes = np.bincount(owner[at_a], minlength=len(texts))
-        self._remember(a, b, at_a, at_b, sizes, numbers, wrong, links)
+        sizes = np.bincount(owner[at_a], minlength=len(parts))
+        facts = np.zeros((len(sizes), 6), np.int64)
+        facts[:, 0], facts[:, 1], facts[:, 2] = numbers[0], numbers[1], wrong
+        if self.counts is not None:
+            facts[:, 3:] = _sums(self.counts.of(links), sizes)
+            self.groups += self._spell(a, b, at_a, at_b, sizes)
+        self.facts = np.concatenate([self.facts, facts])
         return links, sizes
 
-    def _remember(self, a, b, at_a, at_b, sizes, numbers, wrong, links) -> None:
-        spelled_a, spelled_b = [self.a_names[i] for i in a.tolist()], [self.b_names[i] for i in b.tolist()]
+    def _spell(self, a, b, at_a, at_b, sizes) -> list[str]:
+        left, right = [self.a_names[i] for i in a.tolist()], [self.b_names[i] for i in b.tolist()]
         groups, p, q = [], 0, 0
         for i, j in zip(at_a.tolist(), at_b.tolist(), strict=True):
-            left = spelled_a[i] if p == i else ",".join(spelled_a[p : i + 1])
-            right = spelled_b[j] if q == j else ",".join(spelled_b[q : j + 1])
-            groups.append(f"{left}|{right}")
+            first = left[i] if p == i else ",".join(left[p : i + 1])
+            second = right[j] if q == j else ",".join(right[q : j + 1])
+            groups.append(f"{first}|{second}")
             p, q = i + 1, j + 1
         ends = np.cumsum(sizes)
-        self.groups += [";".join(groups[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        facts = np.zeros((len(sizes), 6), np.int64)
-        facts[:, 0], facts[:, 1], facts[:, 2] = numbers[0], numbers[1], wrong
+        return [";".join(groups[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+class Alignments(Linked):
+    """Distinct cuts of texts, each put together from its parts."""
+
+    def __init__(self, description: str, model: bytes, counts: Counts | None, limit: int = 300_000):
+        self.pair = Pair(description, model)
+        self.counts = counts
+        self.parts = Parts(self.pair, counts, limit)
+        super().__init__(self._segment, limit)
+
+    @classmethod
+    def of(cls, key: str, description: str, model: bytes, counts: Counts | None = None) -> Alignments:
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = cls(description, model, counts)
+        return _TABLES[key]
+
+    def _split(self, chunk: str | tuple) -> list:
+        """Letters, the punctuation behind them and newlines; a cut that holds anything else stays whole."""
+        if not isinstance(chunk, str):
+            return [chunk]
+        if self.pair.splits_words:
+            stem = chunk.rstrip(TAIL)
+            if stem.isalpha():
+                return [f" {stem}", chunk[len(stem) :]] if len(stem) < len(chunk) else [f" {stem}"]
+            lines = chunk.split("\n")
+            stems = [line.rstrip(TAIL) for line in lines]
+            if len(lines) == 2 and stems[0].isalpha() and stems[1].isalpha():
+                tails = [line[len(stem) :] for line, stem in zip(lines, stems, strict=True)]
+                return [part for part in (f" {stems[0]}", tails[0], "\n", stems[1], tails[1]) if part]
+        return [(f" {chunk}",)]
+
+    def _segment(self, chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(self._split, chunks))
+        numbers = np.fromiter(map(len, split), np.int64, len(split))
+        table = self.parts
+        codes = table.codes([list(chain.from_iterable(split))])[0]
         if self.counts is not None:
-            facts[:, 3:] = _sums(self.counts.of(links), sizes)
-        self.facts = np.concatenate([self.facts, facts])
+            spelled = [table.groups[code] for code in codes.tolist()]
+            ends = np.cumsum(numbers).tolist()
+            self.groups += [
+                spelled[e - 1] if n == 1 else ";".join(spelled[e - n : e]) for e, n in zip(ends, numbers.tolist(), strict=True)
+            ]
+        self.facts = np.concatenate([self.facts, _sums(table.facts[codes], numbers)])
+        links = table.flat[ragged(table.starts[codes], table.sizes[codes])]
+        return links, _sums(table.sizes[codes][:, None], numbers)[:, 0]
 
 
 class Counts:
