@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.llm.textual import held_out, map_texts, pick, ragged
+from luxframe.llm.textual import held_out, make_room, map_texts, pick, ragged
 
 PER_LANGUAGE = 500
 MOST_LANGUAGES = 200
@@ -92,6 +92,7 @@ class Emissions(dict):
 
     @classmethod
     def of(cls, field: Field) -> Emissions:
+        make_room("language_id", _TABLES.clear)
         if field.name not in _TABLES:
             _TABLES.clear()
             _TABLES[field.name] = cls(field)
@@ -300,8 +301,8 @@ def learn(docs: DataFrame) -> Field:
 # --- prediction ----------------------------------------------------------------------------------
 
 
-def identify(docs: DataFrame, field: Field) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row, from its text alone."""
+def identify(docs: DataFrame, field: Field, keep: dict[str, str] | None = None) -> DataFrame:
+    """``keep`` (``doc_id``), ``lang_pred`` and ``score`` of every row, from its text alone."""
 
     def work(texts: list[str]) -> list[pa.Array]:
         totals = np.zeros((len(texts), max(len(field.languages), 1)))
@@ -317,7 +318,7 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
         share = np.divide(totals.max(1), whole, out=np.zeros(len(texts)), where=whole > 0)
         return [pa.array(named, pa.string()), pa.array(np.clip(share, 0, 1))]
 
-    return map_texts(docs, work, "lang_pred string, score double")
+    return map_texts(docs, work, "lang_pred string, score double", keep)
 
 
 def label_words(docs: DataFrame, field: Field) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.llm.textual import map_texts, pick, scratch
+from luxframe.llm.textual import exact_place, make_room, map_texts, pick, plain_names, scratch
 
 WORDS = 5
 PART, WHOLE = 75, 100  # links: PART * union <= WHOLE * intersection
@@ -74,6 +74,7 @@ def shingle_set(text: str) -> np.ndarray:
     words = text.encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D part words
     if not words:
         return np.zeros(0, np.uint64)
+    make_room("ngram_join", _HASHES.clear)
     hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(WORDS, len(words))
     rolled = np.full(len(words) - width + 1, width, np.uint64)
@@ -325,6 +326,7 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows whose id is the smallest of its component; of repeated rows with that id one stays."""
-    found = link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(found, docs["doc_id"] == found["doc_id"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    found = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    plain, own = plain_names(docs), exact_place(docs, "doc_id")
+    named = plain.join(found, F.col(own) == F.col("kept_id"), "left_semi").dropDuplicates([own])
+    return named.unionByName(plain.where(F.col(own).isNull())).toDF(*docs.columns)

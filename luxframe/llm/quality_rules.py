@@ -162,9 +162,9 @@ def fit(passed: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFram
     return scratch(_solve(calibrated).drop("n").join(sizes, "key").select("key", "n", "centre", "whitening"))
 
 
-def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST) -> DataFrame:
-    """Counts, ``base_failed``, ``distance`` (squared, null where the limits failed) and ``kept`` of every document."""
-    keep = {"doc_id": "long", "lang": "string", "source": "string"}
+def judge(docs: DataFrame, cut: float = CUT, least: int = LEAST, carry: dict[str, str] | None = None) -> DataFrame:
+    """``carry`` (columns and their types), counts, ``base_failed``, ``distance`` (squared, null where the limits failed) and ``kept`` of every document."""
+    keep = {"doc_id": "long", "lang": "string", "source": "string"} | (carry or {})
     per, limit = REPEAT_SHARE
     failed = (F.col("n_words") < MIN_WORDS) | (per * F.col("n_repeat_words") > limit * F.col("n_words"))
     # ``long`` ids may repeat, so verdicts travel with their rows and are never joined by id.

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.llm.textual import ChunkTable, map_texts, pick
+from luxframe.llm.textual import ChunkTable, make_room, map_texts, pick
 
 MARK = "▁"
 CUTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
@@ -54,6 +54,7 @@ class Codec:
 
     @classmethod
     def of(cls, model: bytes) -> Codec:
+        make_room("sentencepiece", _CODECS.clear)
         if model not in _CODECS:
             _CODECS.clear()
             _CODECS[model] = cls(model)

@@ -32,6 +32,44 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return plain.select(*[F.col(f"__{places[name]}").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
+def exact_place(df: DataFrame, name: str) -> str:
+    """Name of a column after ``plain_names``."""
+    return f"c{df.columns.index(name)}"
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same rows with columns ``c0, c1, …``, which no spelling of the given names can clash with."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def carried(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``doc_id, text, lang, source`` and the whole row as ``row``, with the type of ``row``.
+
+    A verdict travels beside its row: nothing is joined by id, so rows without an id and repeated ids are judged alike.
+    """
+    wanted = {name: F.col(exact_place(docs, name)).alias(name) for name in ("doc_id", "text", "lang", "source")}
+    plain = plain_names(docs)
+    rows = plain.select(F.struct(*plain.columns).alias("row"), *wanted.values())
+    return rows, rows.schema["row"].dataType.simpleString()
+
+
+def released(judged: DataFrame, docs: DataFrame) -> DataFrame:
+    """The carried rows under their own names."""
+    return judged.select([F.col(f"row.c{i}").alias(f"c{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def make_room(owner: str, forget: Callable[[], None]) -> None:
+    """Before ``owner`` fills tables of this worker: those of the owner before are forgotten."""
+    if owner not in _OWNER:
+        for last in _OWNER.values():
+            last()
+        _OWNER.clear()
+        _OWNER[owner] = forget
+
+
+_OWNER: dict[str, Callable[[], None]] = {}
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True for rows that are never learned from: crc32 of the id as text divides by ``folds``."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))

@@ -252,3 +252,18 @@ def test_pipeline_stages_on_odd_rows(odd, empty, prepared):
 def test_counts_help():
     assert Counter(ngram_join.shingle_set("a b c d e f A B C D E").tolist()).most_common(1)[0][1] == 1
     assert len(ngram_join.shingle_set("a b c d e f A B C D E")) == 6
+
+
+def test_pipeline_stages_judge_rows_not_ids(prepared):
+    """Null ids, one id with a good and a bad text, and a column that differs from ``doc_id`` by case alone."""
+    good = "The walk along the river was longer than we thought and the evening came before the last bridge. " * 12
+    rows = [(k, f"{good} number {k}", "en", "s", 1, "x") for k in range(40)]
+    rows += [(None, good, "en", "s", 1, "x"), (7, "1 2 3", "en", "s", 1, "bad"), (None, "4 5 6", "en", "s", 1, "bad")]
+    docs = prepared.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, DOC_ID string")
+    first = dict(corpus_pipeline.STAGES)["language_id"](prepared, docs, FOLDER)
+    kept = [tuple(r) for r in first.collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if r[5] != "bad"), key=repr)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(prepared, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= set(rows), name
