@@ -1,6 +1,7 @@
 """From raw documents to token ids: filter by language and quality, drop near copies and leaks, encode.
 
-Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept.  Stages that filter return
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept.  The first two judge each row by
+itself, so equal ids and rows without an id are judged like any other; the next two judge by id, and rows without an id stay.  Stages that filter return
 rows of ``docs`` with all their columns; the last returns the digests of the encoded documents.
 """
 
@@ -14,30 +15,26 @@ from pyspark.sql import functions as F
 from luxframe.llm import decontaminate as leaks
 from luxframe.llm import language_id, ngram_join, quality_rules, sentencepiece_codec
 from luxframe.llm.queries import PIECES
-from luxframe.llm.textual import prepare
+from luxframe.llm.textual import carried, prepare, released
 from luxframe.session import checkpoint_folder
 
 LEAST_LANGUAGE_SCORE = 0.4  # share of the text's letters in its main language
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id is among the verdicts; rows without an id cannot be judged and go."""
-    ids = verdicts.select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_semi")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without one main language, go."""
     prepare(spark)
-    found = language_id.predict(docs)
+    rows, kind = carried(docs)
+    found = language_id.identify(rows, language_id.learn(docs), {"row": kind})
     clear = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return _kept(docs, found.where(clear))
+    return released(found.where(clear), docs)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the limits or the outlier rule reject go."""
     prepare(spark)
-    return _kept(docs, quality_rules.judge(docs).where("kept"))
+    rows, kind = carried(docs)
+    return released(quality_rules.judge(rows, carry={"row": kind}).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
