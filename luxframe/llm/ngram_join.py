@@ -11,14 +11,18 @@ tree per bucket.  Buckets come from ``BANDS`` keys of ``ROWS`` minimum hashes ea
 bucket with probability (1 - s^3)^30, which is 7e-8 at 0.75 and less above.  A bucket of any size is cut into blocks of
 ``BLOCK`` members and joined block by block, nothing is left out.
 
-Equal sets are one class, represented by its smallest id, before anything else.  The join then runs twice.  First each
+Equal sets are one numbered class before anything else, and classes that hold the same id are tied by a link: an id
+with several texts is one document with all their links.  The join then runs twice.  First each
 block is only asked for the partners of its hub, the member nearest to the medians of all coordinates (in a group of
 near copies, their common origin), and verified links are closed to components; a group of thousands of near
 copies becomes one component by as many pairs.  Then the trees give the pairs
-across components that are still possible, and those are verified.  Links inside one component change nothing.
+across components that are still possible, and those are verified.  Of such a pair one member at least lies outside its
+bucket's largest component, so only those members ask, in slices of about ``BLOCK``, every block.  Links inside one
+component change nothing.
 
 Null texts and texts without words have an empty set and link with nothing; with fewer than five words the whole
-sequence is the one shingle.  Rows without an id are reported alone, with a null component.  Repeated rows are copies.
+sequence is the one shingle.  Rows without an id are reported alone, with a null component.  Repeated rows are copies;
+a row without words names its own id even where the same id links elsewhere with another text.
 An empty table gives an empty result.
 """
 
@@ -101,12 +105,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def digest_of(hashes: bytes) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest, bands, counts`` of every document."""
 
     def work(texts: list[str]) -> list[pa.Array]:
         sets = [shingle_set(text) for text in texts]
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        digests = [digest_of(s.tobytes()) for s in sets]
         return [
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array(digests, pa.binary()),
@@ -118,8 +126,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, hashes``: the sorted set of each document, eight bytes a shingle."""
-    return map_texts(docs, lambda texts: [pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], "hashes binary")
+    """``doc_id, digest, hashes``: the sorted set of each document, eight bytes a shingle."""
+
+    def work(texts: list[str]) -> list[pa.Array]:
+        sets = [shingle_set(text).tobytes() for text in texts]
+        return [pa.array(map(digest_of, sets), pa.binary()), pa.array(sets, pa.binary())]
+
+    return map_texts(docs, work, "digest binary, hashes binary")
 
 
 # --- the tree ------------------------------------------------------------------------------------
@@ -133,9 +146,10 @@ def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CountTree:
     """Bulk-loaded R-tree over count vectors; a node keeps largest coordinates and least and largest size."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, members: np.ndarray | None = None):
+        """``members``: the rows that the tree holds (all); others can only ask."""
         self.counts, self.sizes = np.where(counts == MANY, 2**30, counts).astype(np.int32), sizes.astype(np.int64)
-        self.order = self._pack(np.arange(len(sizes)))
+        self.order = self._pack(np.arange(len(sizes)) if members is None else members)
         tops, least, most = self.counts[self.order], self.sizes[self.order], self.sizes[self.order]
         self.levels = []
         while len(tops) > 1 or not self.levels:
@@ -208,37 +222,42 @@ def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
 
     ``across`` false: partners of each block's hub.  True: every pair of different components.
     """
+    named = ["rep", "component", "n_shingles", "counts"]
     if across:
-        mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        members = members.join(mixed.where("x <> y").select("key"), "key")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        spread = members.withColumn("other", other)
-        cells = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+        groups = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+        largest = groups.groupBy("key").agg(
+            F.max_by("component", F.struct("m", "component")).alias("largest"),
+            F.ceil((F.sum("m") - F.max("m")) / BLOCK).alias("slices"),
+        )
+        mixed = members.join(largest.where("slices > 0"), "key")
+        held = mixed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+        asking = mixed.where("component <> largest").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")))
+        asking = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cell = F.xxhash64("key", "block", "slice").alias("cell")
+        rows = held.select(cell, F.lit(False).alias("asks"), *named).union(
+            asking.select(cell, F.lit(True).alias("asks"), *named)
+        )
     else:
-        spread, cells = members, [F.col("block").alias("i"), F.col("block").alias("j")]
-    rows = spread.select(F.xxhash64("key", *cells).alias("cell"), (cells[0] != cells[1]).alias("cross"), "block", "rep",
-                         "component", "n_shingles", "counts")
+        rows = members.select(F.xxhash64("key", "block").alias("cell"), F.lit(False).alias("asks"), *named)
     # Cells are small as a rule, so a task call takes some thousand rows of many cells.
     calls = rows.withColumn("call", F.pmod("cell", F.lit(max(1, -(-rows.count() // BLOCK)))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
-        cell, rep, block, component, sizes = (
-            table.column(k).to_numpy() for k in ("cell", "rep", "block", "component", "n_shingles")
+        cell, rep, asks, component, sizes = (
+            table.column(k).to_numpy() for k in ("cell", "rep", "asks", "component", "n_shingles")
         )
-        cross = table.column("cross").to_numpy()
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS)
         cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
         found = [np.zeros((0, 2), np.int64)]
         for first, end in zip(cuts, cuts[1:], strict=False):
-            if end - first < 2 or (across and (component[first:end] == component[first]).all()):
+            asked = asks[first:end]
+            if end - first < 2 or (across and (asked.all() or not asked.any())):
                 continue
-            tree = CountTree(counts[first:end], sizes[first:end])
-            for q, m in tree.search(np.arange(end - first) if across else tree.hubs()):
+            tree = CountTree(counts[first:end], sizes[first:end], np.flatnonzero(~asked))
+            for q, m in tree.search(np.flatnonzero(asked) if across else tree.hubs()):
                 q, m = q + first, m + first
-                chosen = (component[q] != component[m]) & (rep[q] < rep[m] if across else rep[q] != rep[m])
-                if cross[first]:
-                    chosen &= block[q] != block[m]
+                chosen = component[q] != component[m]
                 found.append(np.column_stack([rep[q[chosen]], rep[m[chosen]]]))
         pairs = np.sort(np.concatenate(found), axis=1)
         pairs = np.unique(pairs, axis=0)
@@ -249,8 +268,8 @@ def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("right"))
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left"))
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right"))
 
     def run(batches):
         for batch in batches:
@@ -268,7 +287,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``rep, component``: smallest id that the links reach, for every id in ``links`` (``a, b``).
+    """``rep, component``: smallest number that the links reach, for every number in ``links`` (``a, b``).
 
     Every round takes the smallest label around each id and then the label of that label, so paths
     shrink by more than half.
@@ -291,32 +310,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def ties(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the classes of ids that occur with several sets."""
+    spread = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
+    apart = named.select("doc_id", "digest").join(spread.select("doc_id", "x"), "doc_id").where("digest <> x")
+    a = classes.select("digest", F.col("rep").alias("a"))
+    b = classes.select(F.col("digest").alias("x"), F.col("rep").alias("b"))
+    return apart.select("digest", "x").distinct().join(a, "digest").join(b, "x").select("a", "b")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     drawn = scratch(sketches(docs))
     named = drawn.where("doc_id is not null and n_shingles > 0")
-    classes = scratch(named.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    first = classes.select("digest", F.col("rep").alias("doc_id"))
-    leaders = named.join(first, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
-    keyed = leaders.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    least = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    leaders = named.join(least, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
+    leaders = scratch(leaders.withColumn("rep", F.monotonically_increasing_id()))
+    classes = leaders.select("digest", "doc_id", "rep")
+    keyed = leaders.select(F.explode("bands").alias("key"), "rep")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     buckets = scratch(keyed.join(shared, "key"))
-    wanted = scratch(buckets.select("rep").distinct())
-    points = named.select(F.col("doc_id").alias("rep"), "n_shingles", "counts").join(wanted, "rep", "left_semi")
-    points = scratch(points.dropDuplicates(["rep"]))
+    wanted = leaders.drop("bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
+    points = scratch(wanted)
     texts = pick(docs, doc_id="long", text="string")
-    chosen = texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = scratch(sets_of(chosen).dropDuplicates(["doc_id"]))
+    chosen = texts.join(points.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = sets_of(chosen).dropDuplicates(["doc_id", "digest"])
+    sets = scratch(sets.join(points.select("doc_id", "digest", "rep"), ["doc_id", "digest"]).select("rep", "hashes"))
 
-    members = _blocks(buckets.join(points, "rep"))
-    links = scratch(verify(_block_pairs(members.withColumn("component", F.col("rep")), False), sets))
+    members = _blocks(buckets.join(points.select("rep", "n_shingles", "counts"), "rep"))
+    hubs = verify(_block_pairs(members.withColumn("component", F.col("rep")), False), sets)
+    links = scratch(hubs.union(ties(named, classes)))
     near = components(links)
     joined = members.join(near, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     late = scratch(verify(_block_pairs(joined, True), sets))
     if late.limit(1).count():
         near = components(links.union(late))
-    labelled = classes.join(near, "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
+    linked = near.join(classes.select("rep", "doc_id"), "rep")
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    reached = linked.join(smallest, "component").select("rep", "smallest")
+    labelled = classes.join(reached, "rep", "left").select(
+        "digest", F.coalesce("smallest", "doc_id").alias("component_id")
     )
     alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return drawn.join(labelled, "digest", "left").select(
@@ -325,8 +358,9 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows whose id is the smallest of its component; of repeated rows with that id one stays."""
-    found = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """The rows whose id is the smallest of its component; of rows with that id one stays."""
+    named = link(docs).groupBy(F.col("doc_id").alias("kept_id")).agg(F.min("component_id").alias("component_id"))
+    found = named.where("kept_id = component_id").select("kept_id")
     plain, own = plain_names(docs), exact_place(docs, "doc_id")
     named = plain.join(found, F.col(own) == F.col("kept_id"), "left_semi").dropDuplicates([own])
     return named.unionByName(plain.where(F.col(own).isNull())).toDF(*docs.columns)

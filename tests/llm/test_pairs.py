@@ -74,6 +74,30 @@ def test_chains_and_groups_around_the_threshold(documents, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts)
 
 
+def test_one_id_with_two_texts_has_the_links_of_both(documents):
+    chance = random.Random(9)
+    first, second = ([f"{side}{chance.randint(0, 500)}" for _ in range(80)] for side in "ab")
+    near = [" ".join([*words[:-1], "other"]) for words in (first, second)]
+    rows = [(4, " ".join(first)), (4, " ".join(second)), (3, near[0]), (5, near[1]), (6, "not like the others at all"), (6, "")]
+    got = ngram_join.link(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (4, 3), (4, 3), (5, 3), (6, 6), (6, 6)]
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(documents(rows)).collect()) == [3, 6]
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(documents([*rows, (5, "")])).collect()) == [3, 6]
+
+
+def test_a_bucket_with_one_large_component_asks_only_its_strangers(prepared, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    counts = bytearray(np.ones(ngram_join.GROUPS, np.uint16).tobytes())
+    rows = [(1, 100, n // 8, n, 0 if n < 796 else n, 256, counts) for n in range(800)]
+    names = "key long, blocks long, block long, rep long, component long, n_shingles long, counts binary"
+    pairs = ngram_join._block_pairs(prepared.createDataFrame(rows, names), True)
+    want = {(min(a, b), max(a, b)) for a in range(796, 800) for b in range(800) if a != b}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    pairs = ngram_join._block_pairs(prepared.createDataFrame(rows, names), True)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+
+
 def test_tree_loses_no_pair_and_passes_over_most(prepared):
     chance = np.random.default_rng(4)
     sets = []
