@@ -1,9 +1,10 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
 Every word has affix, character n-gram and lexicon features; the label of a word is a language, and learned
-transitions tie neighbouring words together.  The field is fitted by stochastic gradient on a bounded sample of
-labelled documents (``PER_LANGUAGE`` documents a language, chosen by a hash of the id, at most ``SAMPLE_CHARS``
-characters of each): first with the document's language on every word, then again with the words that the first
+transitions tie neighbouring words together.  The field is fitted on a bounded sample of labelled documents
+(``PER_LANGUAGE`` documents a language, fewer where that makes more than ``MOST_ROWS``, chosen by a hash of the id).  The
+lexicon counts the words of their whole texts in Spark; the stochastic gradient takes ``WINDOWS`` windows of ``WINDOW``
+words spread over each whole text.  It runs first with the document's language on every word, then again with the words that the first
 fit is sure about, because labelled documents switch languages too.  Prediction runs forward-backward over the
 words of the whole text, all documents of a batch side by side, and adds up the marginals weighted by letters.
 
@@ -15,22 +16,23 @@ row every text is ``und``.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.llm.textual import held_out, make_room, map_texts, pick, ragged
+from luxframe.llm.textual import held_out, make_room, map_texts, pick, ragged, scratch
 
 PER_LANGUAGE = 500
-MOST_LANGUAGES = 200
-SAMPLE_CHARS = 20_000
+MOST_ROWS = 20_000  # sampled documents of all languages together
 BUCKETS = 1 << 15
-SLOTS = 32  # features kept of one word; longer words are described by their ends
 WINDOW = 32  # words in a training sequence
-WINDOWS = 6  # training sequences taken from one document
+WINDOWS = 6  # training sequences of one document
 UNDETERMINED = "und"
 _TABLES: dict[str, Emissions] = {}
 
@@ -45,7 +47,7 @@ def _bucket(feature: str) -> int:
 
 
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Buckets of a lower-case word: ends first, then inner n-grams, the lexicon's opinion at the front."""
+    """Buckets of a lower-case word: the lexicon's opinion, ends, all inner n-grams; 0 where there are none."""
     known = lexicon.get(word)
     found = [_bucket(f"={known}")] if known else []
     n = len(word)
@@ -53,7 +55,30 @@ def features(word: str, lexicon: dict[str, str]) -> list[int]:
     found += [_bucket(f">{word[-k:]}") for k in range(1, min(n, 4) + 1)]
     edge = f"^{word}$"
     found += [_bucket(edge[i : i + k]) for i in range(len(edge)) for k in (2, 3) if i + k <= len(edge)]
-    return found[:SLOTS]
+    return found or [0]
+
+
+class Slots:
+    """Features of words end to end, each word with as many as it has."""
+
+    def __init__(self, words: list[str], lexicon: dict[str, str]):
+        held = [features(word, lexicon) if word else [0] for word in words]
+        self.sizes = np.fromiter(map(len, held), np.int64, len(held))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.fromiter(chain.from_iterable(held), np.int64, int(self.sizes.sum()))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.starts[words], self.sizes[words])]
+
+    def sums(self, weights: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """Summed weights of each word."""
+        words = np.arange(len(self.sizes)) if words is None else words
+        sums = [np.zeros((0, weights.shape[1]), weights.dtype)]
+        for part in np.array_split(words, len(words) // 4096 + 1):
+            if len(part):
+                sizes = self.sizes[part]
+                sums.append(np.add.reduceat(weights[self.of(part)], np.cumsum(sizes) - sizes))
+        return np.concatenate(sums)
 
 
 @dataclass
@@ -120,13 +145,8 @@ class Emissions(dict):
         found = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in split]
         if self.fresh:
             plain = [letters_of(word) for word in self.fresh]
-            slots = np.zeros((len(plain), SLOTS), np.int64)
-            for row, word in zip(slots, plain, strict=True):
-                if word:
-                    held = features(word, self.field.lexicon)
-                    row[: len(held)] = held
-            scores = [self.field.weights[part].sum(1) for part in np.array_split(slots, len(slots) // 4096 + 1)]
-            self.scores = np.concatenate([self.scores, *scores]).astype(np.float32)
+            scores = Slots(plain, self.field.lexicon).sums(self.field.weights)
+            self.scores = np.concatenate([self.scores, scores]).astype(np.float32)
             self.letters = np.concatenate([self.letters, np.array([len(w) for w in plain], np.float32)])
             self.fresh = []
         return found
@@ -175,36 +195,52 @@ def forward_backward(codes: list[np.ndarray], scores: np.ndarray, field: Field)
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``lang, text`` of about ``per_language`` labelled documents of each language, never more than twice that."""
+    """``lang, text, share`` of about ``per_language`` labelled documents of each language, about ``MOST_ROWS`` in all."""
     rows = pick(docs, doc_id="long", lang="string", text="string").where("lang is not null and text is not null")
     rows = rows.where(~held_out())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    sizes = scratch(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    wanted = min(per_language, MOST_ROWS / max(sizes.count(), 1))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.join(F.broadcast(sizes), "lang").where(share * F.col("n") < per_language)
-    return (
-        drawn.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), share.alias("share"))
-        .orderBy("share", "lang", "text")
-        .limit(2 * per_language * MOST_LANGUAGES)
-        .select("lang", "text")
-    )
+    drawn = rows.join(sizes, "lang").where(share * F.col("n") < wanted)
+    return drawn.select("lang", "text", share.alias("share")).orderBy("share", "lang", "text").limit(2 * MOST_ROWS)
 
 
-def _windows(words: list[int]) -> list[list[int]]:
+def _windows(words: list[str]) -> list[list[str]]:
+    """``WINDOWS`` stretches of ``WINDOW`` words, spread over all words."""
     starts = range(0, max(len(words) - WINDOW, 0) + 1, WINDOW)
     chosen = starts if len(starts) <= WINDOWS else [starts[i * len(starts) // WINDOWS] for i in range(WINDOWS)]
     return [words[s : s + WINDOW] for s in chosen if words]
 
 
-def _lexicon(counts: np.ndarray, words: list[str], languages: list[str]) -> dict[str, str]:
-    """Words seen three times or more, nine times in ten in one language."""
-    if not counts.size:
-        return {}
-    total, best = counts.sum(1), counts.argmax(1)
-    sure = (total >= 3) & (counts.max(1) >= 0.9 * total)
-    return {words[i]: languages[best[i]] for i in np.flatnonzero(sure)}
+def sampled_pieces(rows: DataFrame) -> DataFrame:
+    """``lang, share, windows, words, counts`` of whole texts: training windows, and distinct words with their counts."""
+    kinds = [pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                words = [w for w in map(letters_of, batch.column("text")[i].as_py().split()) if w]
+                counts = Counter(words)
+                made = [_windows(words), list(counts), list(counts.values())]
+                own = [batch.column(k).slice(i, 1) for k in ("lang", "share")]
+                made = [pa.array([value], kind) for value, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *made], names=["lang", "share", "windows", "words", "counts"])
 
+    schema = "lang string, share double, windows array<array<string>>, words array<string>, counts array<long>"
+    return rows.mapInArrow(run, schema)
 
-def _epochs(field: Field, slots: np.ndarray, sequences: list, gold: list, random: np.random.Generator, epochs: int) -> None:
+
+def lexicon_of(pieces: DataFrame) -> DataFrame:
+    """``word, lang`` of words seen three times or more, nine times in ten in one language."""
+    seen = pieces.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("seen"))
+    counts = seen.groupBy(F.col("seen.words").alias("word"), "lang").agg(F.sum("seen.counts").alias("n"))
+    best = counts.groupBy("word").agg(
+        F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("lang", F.struct("n", "lang")).alias("lang")
+    )
+    return best.where("total >= 3 and 10 * most >= 9 * total").select("word", "lang")
+
+
+def _epochs(field: Field, slots: Slots, sequences: list, gold: list, random: np.random.Generator, epochs: int) -> None:
     """AdaGrad on the conditional log-likelihood; gold labels below zero are left open."""
     labels = len(field.languages)
     seen = [np.full_like(p, 1e-2) for p in (field.weights, field.moves, field.start)]
@@ -216,7 +252,7 @@ def _epochs(field: Field, slots: np.ndarray, sequences: list, gold: list, random
             used, inverse = np.unique(np.concatenate(batch), return_inverse=True)
             cuts = np.cumsum([len(b) for b in batch])[:-1]
             local = np.split(inverse, cuts)
-            scores = field.weights[slots[used]].sum(1)
+            scores = slots.sums(field.weights, used)
             marginals, owner, words, alpha = forward_backward(local, scores, field)
             order = np.argsort(owner, kind="stable")  # rows of a sequence in time order
             wanted = np.concatenate([gold[i] for i in part])
@@ -227,9 +263,9 @@ def _epochs(field: Field, slots: np.ndarray, sequences: list, gold: list, random
             word_gap = np.zeros((len(used), labels))
             np.add.at(word_gap, words[order], gap)
             slope = np.zeros_like(field.weights)
-            at = slots[used].ravel()
+            at, sizes = slots.of(used), slots.sizes[used]
             for k in range(labels):
-                slope[:, k] = np.bincount(at, np.repeat(word_gap[:, k], SLOTS), BUCKETS)
+                slope[:, k] = np.bincount(at, np.repeat(word_gap[:, k], sizes), BUCKETS)
             slope[0] = 0
             firsts = np.concatenate([[0], cuts])
             inner = np.ones(len(wanted), bool)
@@ -255,35 +291,23 @@ def _expected_moves(marginals: np.ndarray, alpha: np.ndarray, field: Field, pair
     return joint.sum(0)
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field:
-    """Field from ``(language, text)`` pairs."""
+def fit(rows: list[tuple[str, list[list[str]]]], lexicon: dict[str, str], seed: int = 11) -> Field:
+    """Field from pairs of a language and training windows of lower-case words."""
     random = np.random.default_rng(seed)
     languages = sorted({lang for lang, _ in rows})
+    labels = {lang: k for k, lang in enumerate(languages)}
     vocabulary: dict[str, int] = {}
-    documents = [
-        (languages.index(lang), [vocabulary.setdefault(w, len(vocabulary)) for w in map(letters_of, text.split()) if w])
-        for lang, text in rows
-    ]
-    words = list(vocabulary)
-    counts = np.zeros((len(words), len(languages)))
-    for lang, codes in documents:
-        np.add.at(counts, (np.array(codes, np.int64), lang), 1)
-    lexicon = _lexicon(counts, words, languages)
-    slots = np.zeros((len(words), SLOTS), np.int64)
-    for row, word in zip(slots, words, strict=True):
-        held = features(word, lexicon)
-        row[: len(held)] = held
-    k = len(languages)
-    field = Field(languages, lexicon, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k), "")
     sequences, gold = [], []
-    for lang, codes in documents:
-        for window in _windows(codes):
-            sequences.append(np.array(window, np.int64))
-            gold.append(np.full(len(window), lang))
+    for lang, windows in rows:
+        for window in windows:
+            sequences.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in window], np.int64))
+            gold.append(np.full(len(window), labels[lang]))
+    slots, k = Slots(list(vocabulary), lexicon), len(languages)
+    field = Field(languages, lexicon, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k), "")
     if sequences:
         field.moves += 2 * np.eye(k)
         _epochs(field, slots, sequences, gold, random, 2)
-        scores = field.weights[slots].sum(1)
+        scores = slots.sums(field.weights)
         marginals, owner, _, _ = forward_backward(sequences, scores, field)
         order = np.argsort(owner, kind="stable")
         cuts = np.cumsum([len(s) for s in sequences])[:-1]
@@ -295,7 +319,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field:
 
 
 def learn(docs: DataFrame) -> Field:
-    return fit([(row["lang"], row["text"]) for row in training_rows(docs).collect()])
+    pieces = scratch(sampled_pieces(training_rows(docs)))
+    rows = pieces.select("lang", "windows", "share").collect()
+    rows.sort(key=lambda row: (row["share"], row["lang"], row["windows"]))
+    known = sorted((row["word"], row["lang"]) for row in lexicon_of(pieces).collect())
+    return fit([(row["lang"], row["windows"]) for row in rows], dict(known))
 
 
 # --- prediction ----------------------------------------------------------------------------------

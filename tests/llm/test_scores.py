@@ -228,6 +228,30 @@ def test_forward_backward_against_all_paths():
             assert marginals[rows] == pytest.approx(want / want.sum(1, keepdims=True))
 
 
+def test_features_of_long_words_are_all_kept():
+    word = "".join(chr(0x4E00 + i) for i in range(40))
+    assert len(language_id.features(word, {})) == 4 + 4 + 41 + 40
+    slots = language_id.Slots(["", word, "ab"], {})
+    weights = np.random.default_rng(2).random((language_id.BUCKETS, 3))
+    weights[0] = 0
+    want = [weights[[0]].sum(0), weights[language_id.features(word, {})].sum(0), weights[language_id.features("ab", {})].sum(0)]
+    assert np.allclose(slots.sums(weights), want)
+    assert np.allclose(slots.sums(weights, np.array([2, 0])), [want[2], want[0]])
+
+
+def test_training_reads_whole_texts_of_every_language(prepared, documents):
+    """Very long texts give windows up to their end; more languages than any limit of old are all learned."""
+    long = " ".join(["start"] * 30_000 + ["finish"] * 30_000)
+    rows = [(i, f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * 40, f"l{i:03}", "s") for i in range(1, 261)]
+    pieces = language_id.sampled_pieces(language_id.training_rows(documents([(2, long, "en", "s"), *rows])))
+    found = {r["lang"]: r for r in pieces.collect()}
+    assert len(found) > 200
+    assert {w for window in found["en"]["windows"] for w in window} == {"start", "finish"}
+    assert dict(zip(found["en"]["words"], found["en"]["counts"], strict=True)) == {"start": 30_000, "finish": 30_000}
+    known = {(r["word"], r["lang"]) for r in language_id.lexicon_of(pieces).collect()}
+    assert {("start", "en"), ("finish", "en")} <= known and len(known) == len(found) + 1
+
+
 def test_switched_texts_are_labelled_word_by_word(prepared, documents):
     docs = prepared.read.parquet(f"{LARGER}/documents.parquet")
     field = language_id.learn(docs)
