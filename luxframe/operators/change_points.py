@@ -146,6 +146,17 @@ def find_change_points(
     ``photons(particle, photon_ind, abs_ns)``.  A round only reads chunks whose start changed; the
     first wrong chunk of a particle is always right after its round, so the rounds end.
     """
+    found = settled_runs(photons, settings, chunk)[1].select("particle", F.explode("points").alias("p"))
+    return (
+        found.select("particle", "p.*")
+        .groupBy("particle", "cpt_ind")
+        .agg(F.max_by(F.struct("region_lo", "region_hi", "wlr"), "wlr").alias("p"))
+        .select("particle", "cpt_ind", "p.*")
+    )
+
+
+def settled_runs(photons: DataFrame, settings: ChangePointSettings, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks with their photons, and the run of every chunk from the start its predecessors lead to."""
     photons = photons.select("particle", "photon_ind", "abs_ns")
     totals = photons.groupBy("particle").agg(F.count(F.lit(1)).alias("num_photons"))
     chunks = settle(chunked(photons, totals, settings, chunk))
@@ -157,15 +168,9 @@ def find_change_points(
     while True:
         wrong = settle(_wrong_entries(runs, sizes, step, chunk))
         if wrong.isEmpty():
-            break
+            return chunks, runs
         again = chunks.join(wrong, ["particle", "chunk"]).mapInPandas(_runner(settings, chunk), RUN_SCHEMA)
         runs = settle(runs.join(wrong.select("particle", "chunk"), ["particle", "chunk"], "left_anti").unionByName(again))
-    found = runs.select("particle", F.explode("points").alias("p")).select("particle", "p.*")
-    return (
-        found.groupBy("particle", "cpt_ind")
-        .agg(F.max_by(F.struct("region_lo", "region_hi", "wlr"), "wlr").alias("p"))
-        .select("particle", "cpt_ind", "p.*")
-    )
 
 
 def _wrong_entries(runs: DataFrame, sizes: DataFrame, step: int, chunk: int) -> DataFrame:

@@ -340,3 +340,46 @@ def stream_bursts(spark, folder):
     marker.where("abs_ns IS NOT NULL").write.mode("append").parquet(path)
     runs = bursts.photon_runs(photon_stream(spark, path, max(written, 1)), GAP_US)
     return bursts.bursts(bursts.replayed(spark, runs, target, state), LEAST, LONGEST_US * 1000)
+
+
+@query("sql_change_points")
+def sql_change_points(spark, folder):
+    """``cpa_find_all`` asked in SQL text."""
+    from luxframe.operators import change_point_sql
+
+    change_point_sql.register(spark, demo.indexed_photons(spark, folder))
+    return spark.sql("SELECT * FROM change_points(TABLE(photon_chunks) PARTITION BY (particle, chunk) ORDER BY (photon_ind))")
+
+
+REPLAYED_PARTS = 4
+
+
+@query("stream_change_points")
+def stream_change_points(spark, folder):
+    """The measurement arrives in parts of equal length; the stream is stopped after each and goes on from its checkpoint."""
+    from luxframe.plans.scans import scratch
+    from luxframe.streaming import bursts
+    from luxframe.streaming.change_points import track_change_points
+    from luxframe.streaming.live import PHOTON_FILES, photon_stream
+
+    path, target, state = (scratch(spark, name) for name in ("photons", "points", "state"))
+    photons = demo.photons(spark, folder).select("particle", "channel", "abs_ns", "micro_ns")
+    first, last = photons.agg(F.min("abs_ns"), F.max("abs_ns")).first()
+    if first is None:
+        photons.write.parquet(path)
+        return spark.createDataFrame([], "particle string, cpt_ind bigint, region_lo bigint, region_hi bigint, wlr double")
+    whole_s = (last - first) // 1_000_000_000 + 1  # no pause of this measurement ends a recording
+    borders = [first + (last - first) * part // REPLAYED_PARTS for part in range(REPLAYED_PARTS)] + [last + 1]
+    for low, high in zip(borders, borders[1:]):
+        photons.where((F.col("abs_ns") >= low) & (F.col("abs_ns") < high)).write.mode("append").parquet(path)
+        files = len(spark.read.schema(PHOTON_FILES).parquet(path).inputFiles())
+        bursts.replayed(spark, track_change_points(photon_stream(spark, path, files), idle_s=whole_s), target, state)
+    marker = spark.range(1).select(
+        F.lit(None).cast("string").alias("particle"),
+        F.lit(0).alias("channel"),
+        F.lit(last + (whole_s + 3600) * 1_000_000_000).alias("abs_ns"),
+        F.lit(0.0).alias("micro_ns"),
+    )
+    marker.write.mode("append").parquet(path)
+    points = bursts.replayed(spark, track_change_points(photon_stream(spark, path), idle_s=whole_s), target, state)
+    return points.drop("recording")
