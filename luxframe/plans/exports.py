@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from luxframe.functions.decay import FitModel
 from luxframe.operators import binning, correlation, decay_fit, exporting, grouping, imaging, levels as level_ops, roi, selection
-from luxframe.plans.catalog import query
+from luxframe.plans.catalog import ORACLES, QUERIES, query
 from luxframe.plans.features import FITTED_SQL, KEYS, SPECTRA_SQL, spectra
 from luxframe.plans.fits import NARROW, SHIFT
 from luxframe.plans.groups import GROUPED_SQL, grouped_lines
 from luxframe.plans.levels import LINE_ROI_SQL, line_roi, stats
 from luxframe.plans.scans import scratch
 from luxframe.plans.traces import G2_WINDOW_PS, TRACE_SQL, WINDOWED, WIDTH, _hist_sql, bin_trace, particle_decays
-from luxframe.sources import demo, saved
-from luxframe.sources.demo import LINES_SQL, PHOTONS_SQL, table
+from luxframe.sources import demo, saved, snapshot
+from luxframe.sources.demo import LEVELS_SQL, LINES_SQL, PHOTONS_SQL, table
 
 
 def written(spark, rows, name, headers=None):
@@ -271,6 +271,36 @@ def sink_analysis(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# Tables of a whole analysis, by the query that gives them.
+RESULTS = {
+    "particles": "particle_stats",
+    "levels": "level_stats",
+    "grouping_steps": "bic",
+    "group_levels": "merge_group_levels",
+    "decays": "decay_histogram",
+    "fits": "avg_lifetime",
+    "g2_hist": "g2_fixed_window",
+}
+
+
+@query(
+    "sink_snapshot",
+    f"""SELECT 'photons' AS saved, count(*) AS n, true AS verified FROM (WITH {PHOTONS_SQL} SELECT * FROM raw)
+UNION ALL SELECT 'cpts', count(*), true FROM (WITH {LEVELS_SQL} SELECT * FROM cp WHERE first_ind > 0)"""
+    + "".join(f"\nUNION ALL SELECT '{name}', count(*), true FROM ({ORACLES[source]})" for name, source in RESULTS.items()),
+)
+def sink_snapshot(spark, folder):
+    """A whole analysis saved together, loaded again and compared row by row with what was saved."""
+    tables = {
+        "photons": demo.photons(spark, folder),
+        "cpts": demo.true_change_points(demo.stored_photons(spark, folder)),
+        **{name: QUERIES[source](spark, folder) for name, source in RESULTS.items()},
+    }
+    path = scratch(spark, "snapshot")
+    snapshot.save_snapshot(tables, path)
+    return snapshot.verified(spark, path)
+
+
 @query(
     "export_modes",
     f"""WITH {FITTED_SQL}, c AS (SELECT min(particle) AS one FROM ln1),
