@@ -9,40 +9,94 @@ is 10^6 rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from luxframe.session import settle, shuffle_width
 
 BLOCK = 1_000_000
 
 
-def index_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def _local_totals(keys: list[str], value: str):
+    """Add ``__sum``: running sum of the integers in ``value`` over the rows of a key in one sorted partition.
+
+    Null until the key's first known value.  Only the last key and its sum pass from one batch to the next.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry, known = None, 0, False
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fresh = np.zeros(n, bool)
+            for key in keys:
+                column = batch.column(key)
+                same = pc.equal(column.slice(1), column.slice(0, n - 1)).fill_null(False)
+                empty = pc.is_null(column).to_numpy(zero_copy_only=False)
+                fresh[1:] |= ~same.to_numpy(zero_copy_only=False) & ~(empty[1:] & empty[:-1])
+            fresh[0] = last != [batch.column(key)[0].as_py() for key in keys]
+            values = batch.column(value)
+            met = pc.is_valid(values).to_numpy(zero_copy_only=False)
+            sums = np.cumsum(values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            seen = np.cumsum(met)
+            start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            before, unmet = np.append(0, sums)[start], np.append(0, seen)[start]
+            ongoing = np.cumsum(fresh) == 0
+            total = sums - before + np.where(ongoing, carry, 0)
+            some = (seen > unmet) | (ongoing & known)
+            last, carry, known = [batch.column(key)[n - 1].as_py() for key in keys], int(total[-1]), bool(some[-1])
+            added = pa.array(total, pa.int64(), mask=~some)
+            yield pa.RecordBatch.from_arrays([*batch.columns, added], names=[*batch.schema.names, "__sum"])
+
+    return run
+
+
+def index_rows(
+    df: DataFrame, keys: list[str], order: list[str], out: str, totals: dict[str, str] | None = None
+) -> DataFrame:
     """Add the dense 0-based position of every row inside its key, in ``order``.
 
     ``keys + order`` must identify a row.  Rows are range-partitioned on the full ordering, so the
     partitions stay even whatever the key distribution; the sorted rows are written once, because
-    the partition borders come from a sample and must not be drawn twice.
+    the partition borders come from a sample and must not be drawn twice.  The summary of one row per
+    partition and key is written too: the planner then knows how small it is, and as long as it can
+    be sent to the tasks, the rows themselves are not moved again.
+
+    ``totals``, ``{new name: column}`` with one bigint column, adds its inclusive running sum in the same
+    pass; it is null until a key's first known value.
     """
     columns = [*keys, *order]
+    name, value = next(iter(totals.items())) if totals else (None, None)
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *columns).sortWithinPartitions(*columns)
+    if totals:
+        schema = StructType([*df.schema.fields, StructField("__sum", LongType())])
+        ranged = ranged.mapInArrow(_local_totals(keys, value), schema)
     staged = settle(
-        df.repartitionByRange(shuffle_width(df.sparkSession), *columns)
-        .sortWithinPartitions(*columns)
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__pos", F.monotonically_increasing_id())
+        ranged.withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id())
     )
     earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    runs = (
-        staged.groupBy("__part", *keys)
-        .agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
-    )
+    facts = [F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n")]
+    added = {"__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0))}
+    if totals:
+        facts.append(F.sum(value).alias("__own"))
+        added["__carry"] = F.sum("__own").over(earlier)
+    runs = settle(staged.groupBy("__part", *keys).agg(*facts).withColumns(added).drop("__n", "__own"))
+    placed = {out: F.col("__pos") - F.col("__first") + F.col("__before")}
+    if totals:
+        known = F.col("__sum").isNotNull() | F.col("__carry").isNotNull()
+        placed[name] = F.when(known, F.coalesce("__sum", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
     return (
         staged.join(runs, ["__part", *keys])
-        .withColumn(out, F.col("__pos") - F.col("__first") + F.col("__before"))
-        .drop("__part", "__pos", "__first", "__before")
+        .withColumns(placed)
+        .drop("__part", "__pos", "__first", "__before", "__sum", "__carry")
     )
 
 

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from luxframe.operators.ordered import index_rows, running_total, whole
-from luxframe.session import settle
+from luxframe.operators.ordered import index_rows, whole
 from luxframe.sources import photon_store
 
 PERIOD_US = 2 * 86_400_000_000
@@ -65,9 +64,8 @@ def line_levels(spark: SparkSession, folder: str, ordered: bool = True) -> DataF
     """``lineitem`` as levels with fit results; ``ordered`` adds ``level_ind`` and times."""
     dwell_ms = 1 + F.round(F.col("l_discount") * 100) * 10 + F.round(F.col("l_tax") * 100)
     fitted = F.col("l_linenumber") < 6
-    lines = (
-        table(spark, folder, "lineitem")
-        .select(
+    lines = with_rates(
+        table(spark, folder, "lineitem").select(
             F.concat(F.lit("meas"), F.col("l_suppkey")).alias("particle"),
             F.col("l_shipdate").alias("shipped"),
             F.col("l_orderkey").alias("line_order"),
@@ -81,17 +79,23 @@ def line_levels(spark: SparkSession, folder: str, ordered: bool = True) -> DataF
             F.when(fitted, 1.5 + F.col("l_tax") * 8).alias("dw"),
             F.when(fitted, F.col("l_quantity") / 10 - 2.5).alias("irf_shift"),
         )
-        .withColumn("dwell_s", F.col("dwell_ms") / 1000.0)
-        .withColumn("int_p_s", F.col("num_photons") / F.col("dwell_s"))
     )
     return lines if not ordered else ordered_lines(lines)
 
 
 def ordered_lines(lines: DataFrame) -> DataFrame:
-    indexed = index_rows(lines, ["particle"], ["shipped", "line_order", "line_no", "part_key", "num_photons"], "level_ind")
-    timed = running_total(indexed, ["particle"], "level_ind", F.col("dwell_ms"), "end_ms")
+    """Positions and end times in one pass; what follows from other columns is worked out where it is read."""
+    order = ["shipped", "line_order", "line_no", "part_key", "num_photons"]
+    slim = lines.drop("dwell_s", "int_p_s")
+    timed = with_rates(index_rows(slim, ["particle"], order, "level_ind", totals={"end_ms": "dwell_ms"}))
     start = (F.col("end_ms") - F.col("dwell_ms")) / 1000.0
-    return settle(timed.withColumns({"start_s": start, "end_s": F.col("end_ms") / 1000.0}))
+    timed = timed.withColumns({"start_s": start, "end_s": F.col("end_ms") / 1000.0})
+    return timed.select(*lines.columns, "level_ind", "end_ms", "start_s", "end_s")
+
+
+def with_rates(lines: DataFrame) -> DataFrame:
+    dwell = F.col("dwell_ms") / 1000.0
+    return lines.withColumns({"dwell_s": dwell, "int_p_s": F.col("num_photons") / dwell})
 
 
 PHOTONS_SQL = """

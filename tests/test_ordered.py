@@ -27,6 +27,31 @@ def test_index_rows(rows):
     compare(ordered.index_rows(df.drop("pos"), ["key"], ["t", "id"], "pos"), want, ["id"])
 
 
+def test_index_rows_adds_running_totals(rows, spark):
+    want, df = rows
+    want = want.assign(v=want["v"].astype("Int64").where((want["v"] != 1) & (want["pos"] > 2)))
+    known = want.groupby("key")["v"].cummax().groupby(want["key"]).ffill().notna()
+    want["total"] = want["v"].fillna(0).groupby(want["key"]).cumsum().where(known)
+    given = F.when((F.col("v") != 1) & (F.col("pos") > 2), F.col("v")).cast("bigint")
+    df = df.withColumn("v", given).drop("pos")
+    for size in (3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = ordered.index_rows(df, ["key"], ["t", "id"], "pos", totals={"total": "v"})
+            frame = got.toPandas().sort_values(["key", "pos"]).reset_index(drop=True)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert frame["id"].tolist() == want["id"].tolist() and frame["pos"].tolist() == want["pos"].tolist()
+        pd.testing.assert_series_equal(frame["total"].astype("Int64"), want["total"].astype("Int64"), check_names=False)
+    assert got.columns == [*df.columns, "pos", "total"]
+
+
+def test_indexed_rows_are_not_shuffled_again(rows):
+    plan = ordered.index_rows(rows[1].drop("pos"), ["key"], ["t", "id"], "pos", totals={"total": "v"})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
 def test_index_rows_without_key(rows):
     want, df = rows
     got = ordered.index_rows(df.drop("pos"), [], ["id"], "pos").toPandas()
