@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from luxframe.config import BurstSettings
 from luxframe.operators.levels import weighted_mean_std
-from luxframe.operators.ordered import neighbours, ordinal, running_total
+from luxframe.operators.ordered import BLOCK, neighbours, ordinal, running_total
 from luxframe.session import settle
 
 
@@ -17,7 +17,7 @@ def detect_bursts(levels: DataFrame, settings: BurstSettings = BurstSettings())
         limits = weighted_mean_std(levels).select(
             "particle", (F.col("mean_int") + F.col("std_int") * settings.sigma).alias("_limit")
         )
-        judged = levels.join(limits, "particle")
+        judged = levels.join(settle(limits), "particle")  # written, so that the planner knows it is small
     else:
         judged = levels.withColumn("_limit", F.lit(settings.absolute_int))
     bright = (F.col("int_p_s") > F.col("_limit")) & (F.col("dwell_s") < settings.min_dwell_s)
@@ -77,11 +77,12 @@ def merged_levels(merged: DataFrame) -> DataFrame:
 def burst_merges(levels: DataFrame) -> DataFrame:
     """Add ``merged_ind``, the level that remains after bursts have joined their neighbours.
 
-    ``levels`` is read several times and should be a stored table.
+    ``levels`` is read several times and should come from a stored table; ``level_ind`` is dense.  Every level counts
+    one and every dropped border, put in just before the level it opened, takes one back, so the rows are moved once.
     """
-    dropped = dropped_borders(settle(burst_directions(levels))).withColumn("_joined", F.lit(1))
-    flagged = levels.select("particle", "level_ind").join(dropped, ["particle", "level_ind"], "left")
-    begins = F.when(F.col("_joined").isNull(), 1).otherwise(0)
-    numbered = running_total(flagged, ["particle"], "level_ind", begins, "merged_ind")
-    merged = numbered.select("particle", "level_ind", (F.col("merged_ind") - 1).alias("merged_ind"))
-    return levels.join(merged, ["particle", "level_ind"])
+    dropped = dropped_borders(settle(burst_directions(levels)))
+    opened = levels.withColumns({"_at": F.col("level_ind") * 2 + 1, "_step": F.lit(1)})
+    closed = dropped.select("particle", (F.col("level_ind") * 2).alias("_at"), F.lit(-1).alias("_step"))
+    both = opened.unionByName(closed, allowMissingColumns=True)
+    numbered = running_total(both, ["particle"], "_at", F.col("_step"), "merged_ind", 2 * BLOCK).where("_step = 1")
+    return numbered.withColumn("merged_ind", F.col("merged_ind") - 1).drop("_at", "_step")

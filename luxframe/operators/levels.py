@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from luxframe.operators.ordered import following_position, index_rows, last_known, neighbours, ordinal, rows_in_intervals, running_total
+from luxframe.session import settle
 
 
 def define_levels(cpts: DataFrame, totals: DataFrame, overlapping: bool = False) -> DataFrame:
@@ -73,7 +74,7 @@ def weighted_mean_std(levels: DataFrame) -> DataFrame:
         (F.sum(F.col("dwell_s") * F.col("int_p_s")) / F.sum("dwell_s")).alias("mean_int")
     )
     spread = F.sqrt(F.sum(F.col("dwell_s") * F.pow(F.col("int_p_s") - F.col("mean_int"), F.lit(2))) / F.sum("dwell_s"))
-    return levels.join(mean, "particle").groupBy("particle").agg(
+    return levels.join(settle(mean), "particle").groupBy("particle").agg(
         F.min("mean_int").alias("mean_int"), spread.alias("std_int")
     )
 

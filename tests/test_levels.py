@@ -81,6 +81,16 @@ def test_burst_removal_matches_the_sequential_walk(spark, data):
     assert got.merged_ind.tolist() == want
 
 
+def test_burst_removal_moves_levels_once(spark):
+    """Levels meet their borders in one order instead of joins by position; their columns stay."""
+    df = level_frame(spark, [5, 9, 1, 8], flags=[False, True, False, True]).select("particle", "level_ind", "int_p_s", "num_photons", "is_burst")
+    merged = bursts.burst_merges(df)
+    assert merged.columns == [*df.columns, "merged_ind"]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "level_ind" in line]
+    assert [r.merged_ind for r in merged.orderBy("level_ind").collect()] == [0, 0, 1, 1]
+
+
 def test_detect_bursts(spark):
     df = level_frame(spark, [100, 9000, 100, 120], [1, 0.0005, 2, 1])
     found = bursts.detect_bursts(df, BurstSettings()).orderBy("level_ind").toPandas()
