@@ -118,7 +118,10 @@ def group_stats(levels: DataFrame) -> DataFrame:
 
 
 def merge_group_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adjacent levels of one group become one level with the intensity of the group."""
+    """Adjacent levels of one group become one level with the intensity of the group.
+
+    ``begin_ns`` and ``stop_ns`` are the start of its first and the end of its last level.
+    """
     needed = ("particle", "level_ind", "group_ind", "first_ind", "last_ind", "start_ns", "end_ns")
     around = neighbours(levels.select(*needed), ["particle"], "level_ind", before={"_group": "group_ind"})
     starts = F.when(F.col("_group").eqNullSafe(F.col("group_ind")), 0).otherwise(1)
@@ -129,8 +132,10 @@ def merge_group_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
         F.min("start_ns").alias("start_ns"),
         F.max("end_ns").alias("end_ns"),
         F.first("group_ind").alias("group_ind"),
+        F.min_by("start_ns", "first_ind").alias("begin_ns"),
+        F.max_by("end_ns", "last_ind").alias("stop_ns"),
     )
-    ints = groups.select("particle", "group_ind", "int_p_s")
+    ints = settle(groups.select("particle", "group_ind", "int_p_s"))  # written, so that the planner knows it is small
     return merged.join(ints, ["particle", "group_ind"]).select(
         "particle",
         "gl_ind",
@@ -140,6 +145,8 @@ def merge_group_levels(levels: DataFrame, groups: DataFrame) -> DataFrame:
         ((F.col("end_ns") - F.col("start_ns")) / 1e9).alias("dwell_s"),
         "int_p_s",
         "group_ind",
+        "begin_ns",
+        "stop_ns",
     )
 
 

@@ -125,15 +125,11 @@ FROM rn JOIN gs ON gs.particle = rn.particle AND gs.group_ind = rn.group_ind""",
 def sink_grouped_levels_csv(spark, folder):
     lines = grouped_lines(spark, folder)
     merged = grouping.merge_group_levels(lines, grouping.group_stats(lines))
-    spans = lines.select("particle", "level_ind", "start_s", "end_s")
-    begins = spans.select("particle", F.col("level_ind").alias("first_ind"), "start_s")
-    stops = spans.select("particle", F.col("level_ind").alias("last_ind"), "end_s")
-    timed = merged.join(begins, ["particle", "first_ind"]).join(stops, ["particle", "last_ind"])
-    rows = timed.select(
+    rows = merged.select(
         "particle",
         (F.col("gl_ind") + 1).alias("level"),
-        F.round("start_s", 3).alias("start"),
-        F.round("end_s", 3).alias("end"),
+        F.round(F.col("begin_ns") / 1e9, 3).alias("start"),
+        F.round(F.col("stop_ns") / 1e9, 3).alias("end"),
         F.round("int_p_s", 4).alias("int"),
         (F.col("group_ind") + 1).alias("group_index"),
     )
