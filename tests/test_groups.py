@@ -100,6 +100,34 @@ def test_adjacent_levels_of_a_group_merge(spark):
     assert rows[0].int_p_s == 10 and rows[0].dwell_s == 2.0
 
 
+def test_merged_levels_carry_their_begin_and_end(spark):
+    """The export needs no second look at the levels for the times."""
+    df = grouped(spark, [5, 6, 1, 5], [1, 1, 0, 1])
+    rows = grouping.merge_group_levels(df, grouping.group_stats(df)).orderBy("gl_ind").collect()
+    assert [(r.begin_ns / 1e9, r.stop_ns / 1e9) for r in rows] == [(0, 2), (2, 3), (3, 4)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_in_a_table_agree_with_near_pairs(seed, monkeypatch):
+    from luxframe.functions import clustering
+
+    rng = np.random.default_rng(seed)
+    size = int(rng.integers(2, 160))
+    t = rng.integers(1, 110, size) / 1000
+    n = rng.integers(1, 51, size) * 20
+    taken = []
+    whole = clustering.Mixture.refine_table
+    monkeypatch.setattr(clustering.Mixture, "refine_table", lambda *a: taken.append(1) or whole(*a))
+    got = list(cluster(n, t, t.sum(), n.sum()))
+    assert taken
+    monkeypatch.setattr(clustering, "TABLE", 0)
+    want = list(cluster(n, t, t.sum(), n.sum()))
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[1] == pytest.approx(w[1], rel=1e-12, abs=1e-6) and g[2] == pytest.approx(w[2], rel=1e-12, abs=1e-6)
+        assert (g[3] == w[3]).all()
+
+
 def test_bounds_and_lookup(spark):
     df = spark.createDataFrame([("p", 0, 10.0), ("p", 1, 30.0), ("p", 2, 90.0)], "particle string, group_ind int, int_p_s double")
     down = grouping.group_bounds(df).orderBy("position").collect()
