@@ -1,6 +1,6 @@
 """Stupid-backoff scores of all documents from n-gram counts over all documents.
 
-Documents are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash.  Every block explodes its texts into
+Documents are dealt into blocks of about ``BLOCK_CHARS`` characters by a hash and travel there compressed.  Every block explodes its texts into
 n-grams, adds up equal ones and sends the distinct 64-bit hashes with their counts to the count tables, which are
 partitioned by hash range.  A count table adds up the blocks' counts and answers each block in the order it was
 asked with what the other blocks hold.  Sorted hashes travel as differences and numbers as bytes, compressed, so an
@@ -17,6 +17,8 @@ and a null mean.  Repeated documents are evidence for each other.  An empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +32,7 @@ ORDER = 3
 BACKOFF = 0.4
 BLOCK_CHARS = 8_000_000
 TABLE_CHARS = 32_000_000
+LEVEL = 3  # of the compression of texts
 TOKENS = np.uint64(0)  # stands for the number of all tokens in the count tables
 SCORES = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backoffs long"
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -85,8 +88,20 @@ class Ngrams:
         return hashes, counts, index.reshape(len(self.rows), -1)
 
 
+def squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their length and their compressed bytes, one by one, so that they travel in any company."""
+    codec = pa.Codec("zstd", compression_level=LEVEL)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        small = [None if t is None else len(t).to_bytes(4, "little") + codec.compress(t, asbytes=True) for t in texts]
+        columns = [batch.column("doc_id"), pa.array(small, pa.binary()), batch.column("block")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "block"])
+
+
 def _texts(table: pa.Table) -> list[str]:
-    return [text or "" for text in table.column("text").to_pylist()]
+    codec = pa.Codec("zstd")
+    held = (data or b"" for data in table.column("text").to_pylist())
+    return [codec.decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True).decode() if data else "" for data in held]
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -199,7 +214,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_c
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     tables = max(shuffle_width(docs.sparkSession), -(-chars // TABLE_CHARS))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(
+    numbered = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = numbered.mapInArrow(squeezed, "doc_id long, text binary, block long").repartition(
         max(shuffle_width(docs.sparkSession), min(blocks, 100_000)), "block"
     )
     requests = dealt.groupBy("block").applyInArrow(

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from luxframe.llm import language_id, lm_score, quality_rules, queries, rule_classifier, statistics
@@ -76,6 +77,14 @@ def test_sorted_hashes_and_numbers_travel_unchanged(top):
         assert np.array_equal(lm_score.unpacked(lm_score.packed(numbers)), numbers)
 
 
+def test_texts_travel_compressed():
+    texts = ["", None, "a", "\u00e9\u4e2d \x00 word\r\n" * 50, " ".join(f"word{i % 97}" for i in range(400))]
+    columns = {"doc_id": pa.array(range(5), pa.int64()), "text": pa.array(texts), "block": pa.array([0] * 5, pa.int64())}
+    sent = pa.Table.from_batches(lm_score.squeezed([pa.RecordBatch.from_pydict(columns)]))
+    assert lm_score._texts(sent) == [text or "" for text in texts]
+    assert sent.column("text")[1].as_py() is None and len(sent.column("text")[4].as_py()) < len(texts[4]) / 2
+
+
 def test_backoff_scores_of_odd_rows(odd, empty):
     found = lm_score.score(odd).collect()
     assert len(found) == odd.count()
