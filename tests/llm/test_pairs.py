@@ -217,6 +217,41 @@ def test_no_leak_that_the_checks_confirm_is_left_unasked(prepared, documents):
     assert min(r["cosine"] for r in found) < 0.4 < max(r["cosine"] for r in found) <= 1.001
 
 
+def test_candidates_come_from_truncated_axes_of_items_and_passages(prepared, documents, monkeypatch):
+    """Fewer axes than items: what is cut off counts into the limit, so that the latent search leaves out no leak."""
+    monkeypatch.setattr(decontaminate, "RANK", 12)
+    chance = random.Random(5)
+    vocabulary, common = [f"w{i}" for i in range(800)], [f"c{i}" for i in range(25)]
+    draw = lambda n: [chance.choice(common if chance.random() < 0.45 else vocabulary) for _ in range(n)]
+    items = {i: draw(chance.choice([6, 15, 30, 60])) for i in range(40)}
+    texts = {d: draw(150) + items[d % 40][: len(items[d % 40]) * (3 + d % 2) // 4] + draw(60) for d in range(60)}
+    docs = documents([(d, " ".join(w)) for d, w in texts.items()])
+    idf, passages = decontaminate.inverse_frequencies(docs), decontaminate.fitted_passages(docs)
+    assert passages.count() > 300 and all(len(r["text"].split()) <= decontaminate.WINDOW for r in passages.collect())
+    bench = prepared.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    (lens,) = decontaminate.lenses(bench, idf, passages)
+    (alone,) = decontaminate.lenses(bench, idf)
+    assert lens.axes.shape[1] == 12 and not np.allclose(np.abs(lens.axes.T @ alone.axes), np.eye(12), atol=0.1)
+    assert np.linalg.norm(lens.latent, axis=1).max() < 0.99
+    searcher = decontaminate.Searcher(lens, idf)
+    words, sizes = decontaminate._SPELLER.words([" ".join(w) for w in texts.values()])
+    columns = searcher.columns_of(words, decontaminate.buckets_of(words))
+    near = searcher.near(columns, sizes)
+    want = brute_leaks(texts, items)
+    assert len(want) > 50 and want <= {(d, lens.ids[i]) for d, _, i in near.T.tolist()}
+    assert near.shape[1] < 0.5 * len(items) * sum(-(-(n - decontaminate.WINDOW) // decontaminate.STRIDE) + 1 for n in sizes)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+
+
+def test_words_are_hashed_as_they_are_compared():
+    texts = ["", " \n ", "One, two--three FOUR\u3000漢字 é\u0301", "ΟΔΟΣ Σας İx 𝔘x 𝟘 -- .a.", "x", "a\x1cb \x85 c\n", "ß ẞ ǅ ﬀ"]
+    found, sizes = decontaminate._SPELLER.words(texts)
+    chunks = [decontaminate.plain(chunk) for text in texts for chunk in text.split()]
+    assert sizes.tolist() == [len(text.split()) for text in texts]
+    assert found.tolist() == [int(decontaminate.hashes([word])[0]) if word else 0 for word in chunks]
+    assert len(set(found.tolist())) == len(set(chunks))
+
+
 def test_leaks_of_odd_rows(odd, empty, prepared):
     schema = "item_id long, text string, text_ string"
     rows = [(1, "one two three four five six", "x"), (2, None, "x"), (3, "", "x"), (4, "word", "x"), (5, "One, two three four FIVE six", "x")]
