@@ -16,10 +16,11 @@ of their texts; repeated rows are kept.  An empty table gives no shard and an em
 
 from __future__ import annotations
 
+import re
 import re
 import uuid
+from codecs import charmap_decode
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +31,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from luxframe.llm.textual import ChunkTable, pick, slices
+from luxframe.llm.textual import ChunkTable, pick, ragged, slices
 from luxframe.session import checkpoint_folder, shuffle_width
 
 LENGTH = 2048
 BATCH_SEQUENCES = 128
-# White space as the pre-tokenizer's expressions understand it.
+# White space as the pre-tokenizer's expressions understand it, with a range as in an expression.
 GAPS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CHUNKS = re.compile(f"[{GAPS}]*[^{GAPS}]+|[{GAPS}]+")
-PLAIN_GAPS = [f"{gap} " for gap in GAPS if gap < "\x80" and gap != " "]
-RARE_GAPS = re.compile(f"[{''.join(gap for gap in GAPS if gap >= chr(128))}] ")
-TAIL = ".,;:!?%*#$&|"
-
-
-def _spelling() -> dict[int, int]:
-    """How the model spells bytes: visible ones as they are, the others as characters from 256 on."""
+IS_GAP = np.array([bool(re.match(f"[{GAPS}]", chr(c))) for c in range(0x3002)])  # the last stands for all behind it
+NEWLINE = 10
+FACTOR = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+# Where a letter ends a pre-token: no apostrophe, which may begin one with letters, and no bar, which is part of special tokens.
+MARKS = ".,;:!?%*#$&"
+IS_MARK = np.isin(np.arange(len(IS_GAP)), [ord(mark) for mark in MARKS])
+IS_LETTER = np.array([*(chr(c).isalpha() for c in range(len(IS_GAP) - 1)), False])
+
+
+def _spelling() -> str:
+    """How the model spells each byte: visible ones as they are, the others as characters from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return dict(zip((b for b in range(256) if b not in visible), range(256, 512), strict=False))
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in visible else next(rest)) for b in range(256))
 
 
 SPELLED = _spelling()
-SPACE = chr(SPELLED[32])
 MANIFEST = "shard long, ids_path string, index_path string, n_docs long, n_ids long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _ENCODERS: dict[str, ByteEncoder] = {}
@@ -59,16 +64,15 @@ _ENCODERS: dict[str, ByteEncoder] = {}
 class ByteEncoder:
     """One tokenizer in one worker.
 
-    A pre-token never runs from a visible character into white space, so a text may be cut there: the
-    chunks (white space, then visible characters) are encoded once each and joined back by position.
+    A pre-token never runs from a visible character into white space, from a letter into one of ``MARKS``, or over a
+    single newline between visible characters, so a text may be cut there: the chunks are encoded once each and joined
+    back by position.
     """
 
     def __init__(self, description: str, limit: int = 700_000):
         self.tokenizer = Tokenizer.from_str(description)
         self.table = ChunkTable(self._segment, limit)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.stems: dict[str, list[int]] = {}
-        self.limit, self.passed = limit, 0
 
     @classmethod
     def of(cls, description: str) -> ByteEncoder:
@@ -77,67 +81,71 @@ class ByteEncoder:
             _ENCODERS[description] = cls(description)
         return _ENCODERS[description]
 
-    def _segment(self, chunks: list) -> list[list[int]]:
-        """Ids of new chunks: a word after one space, or a tuple that holds a chunk as it stands.
-
-        Letters and the punctuation behind them are different pre-tokens, so a word is looked up without its
-        punctuation.  The letters of a word are one pre-token, which goes to the tokenizer's model directly.
-        """
-        if self.passed > ChunkTable.RENEWAL * self.limit:
-            self.stems, self.passed = {}, 0
-        parts = list(map(self._parts, chunks))
-        tokenize, stems, new = self.tokenizer.model.tokenize, self.stems, {}
-        used = {stem for part in parts for stem, _ in part}
-        for stem in used - stems.keys():
-            letters = stem[1:] if stem[0] == "\n" else stem
-            spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(SPELLED)
-            new[stem] = [token.id for token in tokenize(spelled if stem[0] == "\n" else SPACE + spelled)]
-        room = self.limit - len(stems)
-        self.passed += max(len(new) - room, 0)
-        stems.update(islice(new.items(), max(room, 0)))
-        new |= {stem: stems[stem] for stem in used - new.keys()}
-        tails = sorted({tail for part in parts for _, tail in part if tail})
-        odd = [c[0] if isinstance(c, tuple) else f" {c}" for c, part in zip(chunks, parts, strict=True) if not part]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(tails + odd, add_special_tokens=False)]
-        behind, rest = dict(zip(tails, found, strict=False)) | {"": []}, iter(found[len(tails) :])
-        out = []
-        for part in parts:
-            if len(part) == 1:
-                out.append(new[part[0][0]] + behind[part[0][1]])
-            else:
-                out.append([i for stem, tail in part for i in new[stem] + behind[tail]] if part else next(rest))
-        return out
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new chunks; letters, also behind a space, are one pre-token, which goes to the tokenizer's model directly."""
+        plain = [(chunk[1:] if chunk[0] == " " else chunk).isalpha() for chunk in chunks]
+        odd = [chunk for chunk, letters in zip(chunks, plain, strict=True) if not letters]
+        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
+        tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for chunk, letters in zip(chunks, plain, strict=True):
+            ids = [token.id for token in tokenize(charmap_decode(chunk.encode(), "strict", SPELLED)[0])] if letters else next(rest).ids
+            flat += ids
+            sizes.append(len(ids))
+        return np.array(flat, np.int32), np.array(sizes, np.int64)
 
     @staticmethod
-    def _parts(chunk: str | tuple) -> list[tuple[str, str]]:
-        """Letters and the punctuation behind them, if a chunk is made of these alone; else nothing.
+    def runs(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different chunks of the texts, which of them each chunk in turn is, and the number of chunks of each text.
 
-        Letters without a space in front carry a newline in front instead: the first word of a text, and a
-        word behind a newline, which itself counts as punctuation of the word before.
+        Chunks with equal hashes are compared character by character before they count as one.
         """
-        word, mark = (chunk[0], "\n") if isinstance(chunk, tuple) else (chunk, "")
-        if "\n" in word:
-            lines = word.split("\n")
-            if len(lines) != 2:
-                return []
-            first, second = lines[0].rstrip(TAIL), lines[1].rstrip(TAIL)
-            if not (first.isalpha() and second.isalpha()):
-                return []
-            return [(mark + first, lines[0][len(first) :] + "\n"), ("\n" + second, lines[1][len(second) :])]
-        stem = word.rstrip(TAIL)
-        return [(mark + stem, word[len(stem) :])] if stem.isalpha() else []
-
-    @staticmethod
-    def chunks(text: str) -> list:
-        words = text.split(" ")
-        ends_in_gap = any(gap in text for gap in PLAIN_GAPS) or (not text.isascii() and RARE_GAPS.search(text))
-        if ends_in_gap or "" in words:
-            return [(chunk,) for chunk in CHUNKS.findall(text)]
-        words[0] = (words[0],)
-        return words
+        joined = "".join(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not joined:
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = np.minimum(points, len(IS_GAP) - 1)
+        gap, ends = IS_GAP[low], np.cumsum(lengths)
+        begins, some = ends - lengths, lengths > 0
+        cut = gap.copy()
+        cut[1:] &= ~gap[:-1]
+        cut[1:] |= IS_MARK[low[1:]] & IS_LETTER[low[:-1]]
+        cut[begins[some]] = True
+        lines = np.flatnonzero(points[1:-1] == NEWLINE) + 1
+        lone = lines[~(gap[lines - 1] | gap[lines + 1])]
+        cut[lone + 1] = True
+        first = np.flatnonzero(cut)
+        sizes = np.diff(np.append(first, len(points)))
+        powers, back = _powers(len(points))
+        sums = np.add.reduceat((points + np.uint64(1)) * powers[: len(points)], first) * back[first]
+        _, held, which = np.unique(sums, return_index=True, return_inverse=True)
+        again = first[held][which]
+        if (sizes[held][which] != sizes).any() or (points[ragged(again, sizes)] != points).any():  # equal hashes, other chunks
+            spelled = [joined[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+            places: dict[str, int] = {}
+            which = np.fromiter((places.setdefault(chunk, len(places)) for chunk in spelled), np.int64, len(spelled))
+            chunks = list(places)
+        else:
+            chunks = [joined[a : a + n] for a, n in zip(first[held].tolist(), sizes[held].tolist(), strict=True)]
+        return chunks, which, np.diff(np.searchsorted(first, ends), prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.table.ids([self.chunks(text) for text in texts])
+        chunks, which, numbers = self.runs(texts)
+        codes = self.table.codes([chunks])[0][which]
+        sizes = self.table.sizes[codes]
+        flat = self.table.flat[ragged(self.table.starts[codes], sizes)]
+        total = np.append(0, np.cumsum(sizes))
+        return np.split(flat, total[np.cumsum(numbers)[:-1]])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse, at least ``n``."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            table = np.full(n, factor, np.uint64)
+            table[0] = 1
+            _POWERS[i] = np.multiply.accumulate(table)
+    return _POWERS[0], _POWERS[1]
 
 
 def read_tokenizer(path: str) -> str:

@@ -98,6 +98,18 @@ def test_byte_chunks_give_the_ids_of_the_library():
         assert [row.tolist() for row in encoder.encode(part)] == want
 
 
+def test_chunks_of_equal_hash_are_told_apart(monkeypatch):
+    ones = lambda n: (np.ones(n, np.uint64), np.ones(n, np.uint64))
+    monkeypatch.setattr(arrow_sequences, "_powers", ones)
+    texts = ["dog god, (god) dog.\ngod <|endoftext|>odg", "", " ", "ogd.", "dog god"]
+    chunks, which, numbers = arrow_sequences.ByteEncoder.runs(texts)
+    assert len(set(chunks)) == len(chunks) and "".join(chunks[c] for c in which) == "".join(texts)
+    assert numbers.tolist() == [9, 0, 1, 2, 2] and {" god", ",", " dog", ".", "\n", "god"} <= set(chunks)
+    encoder = arrow_sequences.ByteEncoder(arrow_sequences.read_tokenizer(queries.BYTES))
+    want = Tokenizer.from_file(queries.BYTES).encode_batch(texts, add_special_tokens=False)
+    assert [row.tolist() for row in encoder.encode(texts)] == [e.ids for e in want]
+
+
 def test_sequence_query(prepared):
     library = Tokenizer.from_file(queries.BYTES)
     rows = sorted(prepared.read.parquet(f"{FOLDER}/documents.parquet").collect(), key=lambda r: r["doc_id"])
