@@ -320,10 +320,14 @@ def fit(rows: list[tuple[str, list[list[str]]]], lexicon: dict[str, str], seed:
 
 def learn(docs: DataFrame) -> Field:
     pieces = scratch(sampled_pieces(training_rows(docs)))
-    rows = pieces.select("lang", "windows", "share").collect()
-    rows.sort(key=lambda row: (row["share"], row["lang"], row["windows"]))
-    known = sorted((row["word"], row["lang"]) for row in lexicon_of(pieces).collect())
-    return fit([(row["lang"], row["windows"]) for row in rows], dict(known))
+    drawn = pieces.select("lang", "windows", "share").orderBy("share", "lang", "windows")
+    shared: dict[str, str] = {}  # one string a word: the driver holds all windows
+    rows = [
+        (row["lang"], [[shared.setdefault(word, word) for word in window] for window in row["windows"]])
+        for row in drawn.toLocalIterator()
+    ]
+    known = lexicon_of(pieces).orderBy("word", "lang").toLocalIterator()
+    return fit(rows, {row["word"]: row["lang"] for row in known})
 
 
 # --- prediction ----------------------------------------------------------------------------------
