@@ -20,6 +20,10 @@ across components that are still possible, and those are verified.  Of such a pa
 bucket's largest component, so only those members ask, in slices of about ``BLOCK``, every block.  Links inside one
 component change nothing.
 
+The first pass over the texts gives keys and digests only.  Documents that share a bucket with another are told to the second pass
+by a ``Sieve`` of bounded size, so that neither their texts nor the sets of the rest are shuffled; what it lets through by
+mistake is dropped by an exact join.
+
 Null texts and texts without words have an empty set and link with nothing; with fewer than five words the whole
 sequence is the one shingle.  Rows without an id are reported alone, with a null component.  Repeated rows are copies;
 a row without words names its own id even where the same id links elsewhere with another text.
@@ -30,14 +34,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luxframe.llm.textual import exact_place, make_room, map_texts, pick, plain_names, scratch
+from luxframe.llm.textual import exact_place, make_room, map_texts, pick, plain_names, scratch, slices
 
 WORDS = 5
 PART, WHOLE = 75, 100  # links: PART * union <= WHOLE * intersection
@@ -46,6 +51,8 @@ MANY = np.iinfo(np.uint16).max  # a group with so many members or more: no bound
 BANDS, ROWS = 30, 3
 BLOCK = 4096
 LEAF = 16
+SIEVE_BITS = 1 << 25  # at most; beyond two million ids more of the others pass
+SIEVE_HASHES = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FLIPS = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -110,7 +117,7 @@ def digest_of(hashes: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands, counts`` of every document."""
+    """``doc_id, n_shingles, digest, bands`` of every document."""
 
     def work(texts: list[str]) -> list[pa.Array]:
         sets = [shingle_set(text) for text in texts]
@@ -119,20 +126,60 @@ def sketches(docs: DataFrame) -> DataFrame:
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array(digests, pa.binary()),
             pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-            pa.array([counts_of(s).tobytes() for s in sets], pa.binary()),
         ]
 
-    return map_texts(docs, work, "n_shingles long, digest binary, bands array<long>, counts binary")
+    return map_texts(docs, work, "n_shingles long, digest binary, bands array<long>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, hashes``: the sorted set of each document, eight bytes a shingle."""
+@dataclass
+class Sieve:
+    """Bloom filter: lets every id through that it was made of, and few others."""
 
-    def work(texts: list[str]) -> list[pa.Array]:
-        sets = [shingle_set(text).tobytes() for text in texts]
-        return [pa.array(map(digest_of, sets), pa.binary()), pa.array(sets, pa.binary())]
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, ids: DataFrame) -> Sieve:
+        """``ids``: a stored table with ``doc_id``."""
+        size = 64
+        while size < min(16 * ids.count(), SIEVE_BITS):
+            size *= 2
+        spots = ids.select(F.explode(cls._spots("doc_id", size)).alias("spot"))
+        bit = F.expr("shiftleft(1L, cast(spot % 64 as int))")
+        marks = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
+        words = np.zeros(size // 64, np.int64)
+        words[marks.column("word").to_numpy()] = marks.column("mask").to_numpy()
+        return cls(words.view(np.uint64))
+
+    @staticmethod
+    def _spots(name: str, size: int) -> Column:
+        return F.array(*[F.pmod(F.xxhash64(name, F.lit(k)), F.lit(size)) for k in range(SIEVE_HASHES)])
+
+    def spots(self, name: str) -> Column:
+        return self._spots(name, 64 * len(self.words))
+
+    def passes(self, spots: pa.Array) -> np.ndarray:
+        at = spots.flatten().to_numpy().reshape(-1, SIEVE_HASHES)
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
-    return map_texts(docs, work, "digest binary, hashes binary")
+
+def sets_of(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """``doc_id, digest, counts, hashes`` of the documents that pass: the sorted set of each, eight bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(sieve.passes(batch.column("spots"))))
+            ids, texts = batch.column("doc_id"), [text or "" for text in batch.column("text").to_pylist()]
+            for part in slices(texts):
+                sets = [shingle_set(text) for text in texts[part]]
+                made = [[digest_of(s.tobytes()) for s in sets], [counts_of(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(part.start, len(sets)), *(pa.array(column, pa.binary()) for column in made)],
+                    names=["doc_id", "digest", "counts", "hashes"],
+                )
+
+    rows = pick(docs, doc_id="long", text="string").where("doc_id is not null")
+    rows = rows.withColumn("spots", sieve.spots("doc_id"))
+    return rows.mapInArrow(run, "doc_id long, digest binary, counts binary, hashes binary")
 
 
 # --- the tree ------------------------------------------------------------------------------------
@@ -217,12 +264,13 @@ def _blocks(members: DataFrame) -> DataFrame:
     )
 
 
-def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
+def _block_pairs(members: DataFrame, across: bool, points: DataFrame | None = None) -> DataFrame:
     """Candidate pairs ``a < b`` from the trees of all blocks.
 
-    ``across`` false: partners of each block's hub.  True: every pair of different components.
+    ``across`` false: partners of each block's hub.  True: every pair of different components.  ``points``: sizes and counts by ``rep``,
+    where the members do not bring them; they join the rows of the cells last.
     """
-    named = ["rep", "component", "n_shingles", "counts"]
+    named = ["rep", "component"] if points else ["rep", "component", "n_shingles", "counts"]
     if across:
         groups = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
         largest = groups.groupBy("key").agg(
@@ -239,8 +287,10 @@ def _block_pairs(members: DataFrame, across: bool) -> DataFrame:
         )
     else:
         rows = members.select(F.xxhash64("key", "block").alias("cell"), F.lit(False).alias("asks"), *named)
+    rows = scratch(rows)
+    full = rows.join(points, "rep") if points else rows
     # Cells are small as a rule, so a task call takes some thousand rows of many cells.
-    calls = rows.withColumn("call", F.pmod("cell", F.lit(max(1, -(-rows.count() // BLOCK)))))
+    calls = full.withColumn("call", F.pmod("cell", F.lit(max(1, -(-rows.count() // BLOCK)))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
@@ -323,26 +373,24 @@ def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     drawn = scratch(sketches(docs))
     named = drawn.where("doc_id is not null and n_shingles > 0")
-    least = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    leaders = named.join(least, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"])
+    same = [F.first(k).alias(k) for k in ("n_shingles", "bands")]  # both follow from the digest's set
+    leaders = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *same)
     leaders = scratch(leaders.withColumn("rep", F.monotonically_increasing_id()))
     classes = leaders.select("digest", "doc_id", "rep")
     keyed = leaders.select(F.explode("bands").alias("key"), "rep")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     buckets = scratch(keyed.join(shared, "key"))
-    wanted = leaders.drop("bands").join(buckets.select("rep").distinct(), "rep", "left_semi")
-    points = scratch(wanted)
-    texts = pick(docs, doc_id="long", text="string")
-    chosen = texts.join(points.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = sets_of(chosen).dropDuplicates(["doc_id", "digest"])
-    sets = scratch(sets.join(points.select("doc_id", "digest", "rep"), ["doc_id", "digest"]).select("rep", "hashes"))
-
-    members = _blocks(buckets.join(points.select("rep", "n_shingles", "counts"), "rep"))
-    hubs = verify(_block_pairs(members.withColumn("component", F.col("rep")), False), sets)
+    wanted = scratch(leaders.drop("bands").join(buckets.select("rep").distinct(), "rep", "left_semi"))
+    chosen = sets_of(docs, Sieve.of(wanted)).dropDuplicates(["doc_id", "digest"])
+    sets = scratch(chosen.join(wanted, ["doc_id", "digest"]).select("rep", "n_shingles", "counts", "hashes"))
+    points = sets.select("rep", "n_shingles", "counts")
+
+    members = _blocks(buckets)
+    hubs = verify(_block_pairs(members.withColumn("component", F.col("rep")), False, points), sets)
     links = scratch(hubs.union(ties(named, classes)))
     near = components(links)
     joined = members.join(near, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    late = scratch(verify(_block_pairs(joined, True), sets))
+    late = scratch(verify(_block_pairs(joined, True, points), sets))
     if late.limit(1).count():
         near = components(links.union(late))
     linked = near.join(classes.select("rep", "doc_id"), "rep")

@@ -114,6 +114,17 @@ def test_tree_loses_no_pair_and_passes_over_most(prepared):
     assert len(found) < 0.3 * len(sets) ** 2
 
 
+def test_only_texts_that_share_a_bucket_leave_their_place(prepared, documents):
+    """The second pass gives the sets of all asked ids and of next to no others, repeated rows and rows without an id included."""
+    rows = [*((n, f"w{n} x{n} y{n} z{n} u{n} v{n}") for n in range(4000)), (7, "again a text"), (None, "no id"), (11, None)]
+    asked = prepared.createDataFrame([(n,) for n in range(0, 4000, 40)], "doc_id long")
+    sieve = ngram_join.Sieve.of(asked)
+    got = Counter(r["doc_id"] for r in ngram_join.sets_of(documents(rows), sieve).collect())
+    assert all(got[n] == 1 for n in range(0, 4000, 40)) and None not in got
+    assert len(got) < 200
+    assert not ngram_join.sets_of(documents(rows), ngram_join.Sieve.of(asked.limit(0))).count()
+
+
 def test_join_of_odd_rows(odd, empty):
     got = ngram_join.link(odd).collect()
     assert len(got) == odd.count()
