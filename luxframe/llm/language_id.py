@@ -62,10 +62,13 @@ class Slots:
     """Features of words end to end, each word with as many as it has."""
 
     def __init__(self, words: list[str], lexicon: dict[str, str]):
-        held = [features(word, lexicon) if word else [0] for word in words]
-        self.sizes = np.fromiter(map(len, held), np.int64, len(held))
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(words), 4096):  # lists of numbers take many times the room of arrays
+            held = [features(word, lexicon) if word else [0] for word in words[first : first + 4096]]
+            sizes.append(np.fromiter(map(len, held), np.int64, len(held)))
+            flat.append(np.fromiter(chain.from_iterable(held), np.int64, int(sizes[-1].sum())))
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.fromiter(chain.from_iterable(held), np.int64, int(self.sizes.sum()))
 
     def of(self, words: np.ndarray) -> np.ndarray:
         return self.flat[ragged(self.starts[words], self.sizes[words])]

@@ -1,7 +1,9 @@
 """Language model scores, quality rules, languages and quality scores against plain computations."""
 
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -314,3 +316,18 @@ def test_queries_cover_every_row(prepared):
     n = prepared.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op3_lm_score", "op4_quality_rules", "op5_language_id", "op8_rule_classifier"):
         assert queries.QUERIES[name](prepared, FOLDER).count() == n
+
+
+def test_features_of_many_words_are_kept_as_arrays():
+    """What the driver holds while it learns follows the arrays, not lists of numbers; each word has its own features."""
+    chance = random.Random(12)
+    words = ["", *("".join(chance.choice("abcdefghijklmnop") for _ in range(chance.randint(1, 11))) for _ in range(20_000))]
+    lexicon = {words[5]: "en"}
+    tracemalloc.start()
+    slots = language_id.Slots(words, lexicon)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * slots.flat.nbytes + 2_000_000
+    for at in (0, 5, 4095, 4096, 4097, 20_000):
+        assert slots.of(np.array([at])).tolist() == (language_id.features(words[at], lexicon) if words[at] else [0])
+    assert len(language_id.Slots([], {}).flat) == 0
