@@ -254,6 +254,41 @@ def test_candidates_come_from_truncated_axes_of_items_and_passages(prepared, doc
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()} == want
 
 
+@pytest.mark.parametrize("cells", [decontaminate.CELLS, 0])
+def test_axes_are_fitted_on_all_passages_of_all_documents(prepared, documents, monkeypatch, cells):
+    """More documents, and more passages of one, than a sample would take; the products are those of brute force."""
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    monkeypatch.setattr(decontaminate, "CELLS", cells)  # 0: pairs are folded part by part
+    monkeypatch.setattr(decontaminate, "FOLDED", 500)
+    chance = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = {d: [chance.choice(vocabulary[d % 7 :: 7]) for _ in range(chance.choice([7, 40, 64]))] for d in range(700)}
+    texts[700] = [chance.choice(vocabulary[k // 200 :: 12]) for k in range(2000)]
+    texts[701] = []
+    docs = documents([(d, " - ".join(w)) for d, w in texts.items()])
+    bench = prepared.createDataFrame([(i, " ".join(vocabulary[i : i + 12])) for i in range(0, 48, 3)], "item_id long, text string")
+    passages = []
+    for words in texts.values():
+        chunks = " - ".join(words).split()
+        for a in range(0, max(len(chunks) - decontaminate.WINDOW, 0) + decontaminate.STRIDE if chunks else 0, decontaminate.STRIDE):
+            passages.append([c for c in chunks[a : a + decontaminate.WINDOW] if c != "-"])
+    spelled = decontaminate.fitted_passages(docs)
+    assert sorted(r["text"] for r in spelled.collect()) == sorted(" ".join(p) for p in passages)
+    idf = decontaminate.inverse_frequencies(docs)
+    (lens,) = decontaminate.lenses(bench, idf, docs)
+    weights = decontaminate._weights(lens.columns, idf)
+    rows = np.zeros((len(passages), len(lens.columns)))
+    for row, words in zip(rows, passages, strict=True):
+        at, values = decontaminate._unit(words, lens.columns, weights)
+        row[at] = values
+    blocks = {r["c"]: r["v"] for r in decontaminate.passage_products(docs, lens.columns, idf).collect()}
+    assert np.frombuffer(blocks.pop(decontaminate.NUMBER), np.int64).tolist() == [len(passages)]
+    whole = np.concatenate([np.frombuffer(blocks[c], np.float32) for c in sorted(blocks)]).reshape(len(lens.columns), -1)
+    assert np.allclose(whole, rows.T @ rows, atol=1e-3)
+    (same,) = decontaminate.lenses(bench, idf, spelled)
+    assert np.allclose(np.abs(same.axes.T @ lens.axes), np.eye(4), atol=1e-2)
+
+
 def test_words_are_hashed_as_they_are_compared():
     texts = ["", " \n ", "One, two--three FOUR\u3000漢字 é\u0301", "ΟΔΟΣ Σας İx 𝔘x 𝟘 -- .a.", "x", "a\x1cb \x85 c\n", "ß ẞ ǅ ﬀ"]
     found, sizes = decontaminate._SPELLER.words(texts)
